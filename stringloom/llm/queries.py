@@ -3,15 +3,18 @@ from __future__ import annotations
 
 from stringloom.llm.bpe import op10_bpe
 from stringloom.llm.decontamination import op9_decontamination
+from stringloom.llm.embedding_dedup import op7_embedding_dedup
+from stringloom.llm.lm import op8_lm_scoring
 from stringloom.llm.minhash import op2_minhash
 from stringloom.llm.pii import op1_pii
 from stringloom.llm.sharding import op4_sharding
 from stringloom.llm.token_counts import op3_token_counts
+from stringloom.llm.toxicity import op6_toxicity
 from stringloom.llm.url_filter import LISTED_HOSTS, RULES, op5_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_token_counts, op4_sharding, op5_url_filter, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_token_counts, op4_sharding, op5_url_filter, op6_toxicity, op7_embedding_dedup, op8_lm_scoring, op9_decontamination, op10_bpe)}
 
 
 def _op5_sql() -> str:
