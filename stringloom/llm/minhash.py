@@ -8,9 +8,10 @@ So a large set needs one or two rounds over its elements, and the agreement of t
 
 Links: BANDS bands of ROWS bins make keys. At similarity 0.8 a pair shares no key with probability (1 - 0.8**6)**32 = 6e-5.
 Documents with the same set are one class. Within a key every class is first paired with the key's least class (a star, linear in the key's
-members); pairs are confirmed on the full sets. Only for keys whose classes are not all in one component by then are the remaining pairs
-between different components confirmed as well, so no shared key is left undecided and no key's pairs are emitted while they can't matter.
-Sizes that rule out the threshold are passed over before.
+members); pairs are confirmed on the full sets. Keys whose classes are not all in one component by then are decided in full: with at most
+FEW classes by pairs between components (a constant number for each member); with more, the classes outside the hub's component
+are compared with all of the key in blocks, by the counts of common elements of a whole block at once, and a block gives a forest of the
+components it joins, not its pairs. So every pair that shares a key is decided, and no key is gathered in one task or emitted as pairs.
 
 Sets travel only for pairs to confirm. Joins on classes and keys are plain equi-joins (skewed keys are split at run time), counts and
 minima combine before the shuffle, and every intermediate table is written to the shared folder.
@@ -30,6 +31,8 @@ from stringloom.llm.words import Words, mix, run_hash, slices
 
 BANDS, ROWS, PERCENT = 32, 6, 80
 BINS = BANDS * ROWS
+#: Classes of a key that are compared as pairs; classes of a block beyond.
+FEW, BLOCK = 16, 256
 #: Classes in pairs up to which their ids are sent to every worker to pick the texts; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 _ROUND = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -162,13 +165,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     found = common.components(links)
     # keys that are not settled: their classes lie in different components
     placed = live.select("rep", "n", "key").join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "key", F.coalesce("component", "rep").alias("c"))
-    unsettled = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = common.stage(placed.join(unsettled, "key"), "unsettled")
-    other = left.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
-    rest = left.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and c <> cb and {fits}").select("a", "b").distinct()
+    unsettled = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "rep").alias("hub"), F.count("*").alias("size")).where("lo < hi")
+    left = common.stage(placed.join(unsettled.select("key", "hub", "size"), "key"), "unsettled")
+    few = left.where(F.col("size") <= FEW).select("key", F.col("rep").alias("a"), "n", "c")
+    other = few.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
+    rest = few.join(other, "key").where(f"a < b and c <> cb and {fits}").select("a", "b").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = common.stage(rest.join(done, ["a", "b"], "left_anti"), "rest")
     more = common.stage(_confirmed(rest, texts, shingle, percent), "links")
+    more = more.unionByName(common.stage(_by_blocks(left.where(F.col("size") > FEW), texts, shingle, percent), "links"))
     found = common.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(placed, ["d1", "d2"], "left")
@@ -190,12 +195,117 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return both.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
+def _by_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links across components in keys with many classes; members: rep, n, key, c, hub (the component of the key's least class), size.
+
+    A group (key, i, j) is block i of the classes outside the hub's component against block j of all classes.
+    """
+    spark = members.sparkSession
+    outside = members.where("c <> hub").groupBy("key").agg(F.count("*").alias("strays"))
+    rows = members.join(outside, "key").withColumn("bs", F.ceil(F.col("strays") / BLOCK).cast("int")).withColumn("ba", F.ceil(F.col("size") / BLOCK).cast("int"))
+    h = F.xxhash64("rep", F.lit(3))
+    stray = rows.where("c <> hub").select("key", F.pmod(h, F.col("bs")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "c")
+    every = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("i"), F.pmod(h, F.col("ba")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "c")
+    grouped = stray.unionByName(every).join(texts, "rep").select("key", "i", "j", "side", "rep", "c", "text")
+    grouped = grouped.repartition(common.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(_compare_blocks(shingle, percent), "a long, b long").distinct()
+
+
+def common_counts(doc: np.ndarray, h: np.ndarray, n: int, side: np.ndarray) -> np.ndarray:
+    """Common elements of each text of side 0 with each of side 1; elements that one text alone has don't matter."""
+    names, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    keep = times[at] > 1
+    doc, at = doc[keep], at[keep]
+    place = np.cumsum(times > 1) - 1
+    at = place[at]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    row = np.cumsum(side == 0) - 1, np.cumsum(side == 1) - 1
+    out = np.zeros((int((side == 0).sum()), int((side == 1).sum())), np.float32)
+    step = 16_384
+    total = int(at[-1]) + 1 if len(at) else 0
+    for lo in range(0, total, step):
+        a, b = np.searchsorted(at, [lo, lo + step])
+        parts = []
+        for s in (0, 1):
+            mine = side[doc[a:b]] == s
+            m = np.zeros((out.shape[s], min(step, total - lo)), np.float32)
+            m[row[s][doc[a:b][mine]], at[a:b][mine] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compare_blocks(k: int, percent: int):
+    def links(held):
+        side = np.concatenate([x[0] for x in held])
+        rep = np.concatenate([x[1] for x in held])
+        comp = np.concatenate([x[2] for x in held])
+        if not (side == 0).any() or not (side == 1).any():
+            return [], []
+        texts = pa.chunked_array([x[3] for x in held]).combine_chunks()
+        docs, hashes = [], []
+        for lo, hi in slices(texts):
+            d, h = shingle_sets(texts.slice(lo, hi - lo), k)
+            docs.append(d + lo)
+            hashes.append(h)
+        doc, h = np.concatenate(docs), np.concatenate(hashes)
+        size = np.bincount(doc, minlength=len(side))
+        both = common_counts(doc, h, len(side), side).astype(np.int64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        near = 100 * both >= percent * (size[left][:, None] + size[right][None] - both)
+        i, j = np.nonzero(near & (comp[left][:, None] != comp[right][None]))
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(left[i].tolist(), right[j].tolist()):
+            a, b = root(int(comp[x])), root(int(comp[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(rep[x]), int(rep[y])))
+        return [o[0] for o in out], [o[1] for o in out]
+
+    def run(batches):
+        held, key = [], None
+
+        def flush():
+            a, b = links(held)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                here = tuple(keys[lo].tolist())
+                if here != key and held:
+                    yield flush()
+                    held = []
+                key = here
+                held.append(tuple(batch.column(i).slice(lo, hi - lo) if i == 6 else batch.column(i).slice(lo, hi - lo).to_numpy() for i in (3, 4, 5, 6)))
+        if held:
+            yield flush()
+
+    return run
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs, with all columns, with one row of each group: the first of the least document."""
-    judged = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    """docs, with all columns, with one row of each group: of the least document. Rows without a doc_id stay."""
+    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    left = docs.join(common.stage(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return left
+    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
