@@ -9,8 +9,10 @@ An agreement point is a place after a character that isn't white space, before a
 tokenizer's splitter ends a piece there whatever stands around it, and special strings hold no blank, so the ids of a text are exactly
 those of the stretches between agreement points, one after the other.
 
-Texts stay where they are: nothing is shuffled. A worker remembers cores by digest (bounded by bytes, emptied when full), so a core is encoded once in
-each worker rather than once in the cluster.
+Cores and joins that stand more than once in the corpus are encoded once, in the whole cluster: the digests of all are counted (they alone
+travel), the row with the least id that holds a shared one encodes it, and the ids go to files of the shared folder, by digest,
+which all workers map into memory. What stands once is encoded where it is. Texts are never shuffled. Words, too, are remembered by a worker
+(bounded, emptied when full), so that even new stretches seldom reach the library.
 
 Defined results: null text counts as empty (0 ids, empty text back); repeated rows give a row each; an empty table gives no rows.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from array import array
 
 import numpy as np
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.llm import common
+from stringloom.llm.files import get, pack, put, unpack
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A chunk ends on average after 2 ** CHUNK_BITS bytes.
 CHUNK_BITS = 9
-#: Bytes of ids that a worker remembers for cores, and pieces (words with their blank) whose ids it remembers.
-MEMORY_BYTES, MEMORY_PIECES = 48_000_000, 1_000_000
+#: Pieces (words with their blank) whose ids a worker remembers.
+MEMORY_PIECES = 1_000_000
+#: Stretches in a file of the store, about.
+SHARD_STRETCHES = 2_000_000
 _ODD = re.compile(r"\s\s|\s\Z|\x00")
 #: A point or comma after something else than a letter or digit: it may belong to a longer run.
 _PUNCTUATION = re.compile(r"[\W_][.,]")
@@ -65,43 +71,39 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.bits = bits
         self.pieces: dict[str, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
         self.table: list[bytes] | None = None
-        self.held = 0
         self.reused = self.encoded = 0
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts: cut all, encode what no memory holds in one call, then put the parts together."""
-        plans = [self._plan(t.encode()) for t in texts]
+    def encode(self, texts: list[str], store: Store | None = None) -> list[bytes]:
+        """The ids of whole texts: cut all, take what the store holds, encode the rest in one call, then put the parts together."""
+        plans = [self.plan(t.encode()) for t in texts]
+        ids = self.stretches({key: data for plan in plans for key, data in plan}, store)
+        return [b"".join([ids[key] for key, _ in plan]) for plan in plans]
+
+    def stretches(self, of: dict[bytes, bytes], store: Store | None = None) -> dict[bytes, bytes]:
+        """The ids of stretches by digest."""
+        out = store.ids(list(of)) if store is not None else {}
+        self.reused += len(out)
         wanted: set[str] = set()
         parts: dict[bytes, list[str]] = {}
-        for plan in plans:
-            for key, data in plan:
-                if key in self.cores:
-                    self.reused += 1
-                elif key not in parts:
-                    self.encoded += 1
-                    parts[key] = pieces = _pieces(data.decode())
-                    wanted.update(pieces)
+        for key, data in of.items():
+            if key not in out:
+                parts[key] = pieces = _pieces(data.decode())
+                wanted.update(pieces)
+        self.encoded += len(parts)
         new = [p for p in wanted if p not in self.pieces]
         if len(self.pieces) + len(new) > MEMORY_PIECES:
             self.pieces = {}
             new = list(wanted)
         self.pieces.update(zip(new, self.library(new)))
-        if self.held > MEMORY_BYTES:
-            cores, self.cores, self.held = self.cores, {}, 0
-        else:
-            cores = self.cores
         for key, pieces in parts.items():
-            ids = b"".join(map(self.pieces.__getitem__, pieces))
-            cores[key] = self.cores[key] = ids
-            self.held += len(ids) + 150
-        return [b"".join([cores[key] for key, _ in plan]) for plan in plans]
+            out[key] = b"".join(map(self.pieces.__getitem__, pieces))
+        return out
 
-    def _plan(self, data: bytes) -> list[tuple[bytes, bytes]]:
+    def plan(self, data: bytes) -> list[tuple[bytes, bytes]]:
         """(digest, bytes) of the stretches that make up a text: cores, and joins that are encoded again as a whole."""
         out, open_, start = [], 0, 0  # open_: where the stretch that isn't settled yet begins
         for end in chunk_ends(data, self.bits):
@@ -164,27 +166,221 @@ def _agreement(data: bytes, start: int, end: int) -> tuple[int, int] | None:
     return start + first.start(), start + _LAST.match(part).end()
 
 
-def _encode(path: str, bits: int):
+class Store:
+    """What the files of the shared folder hold: shared stretches (with the row that encodes them) and, once encoded, their ids."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+        self._open: dict[str, dict] = {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "shards": self.shards, "_open": {}}
+
+    def _file(self, kind: str, shard: int) -> dict | None:
+        name = f"{kind}-{shard}"
+        if name not in self._open:
+            try:
+                self._open[name] = unpack(get(f"{self.folder}/{name}"))[0]
+            except FileNotFoundError:
+                self._open[name] = None
+        return self._open[name]
+
+    def _find(self, kind: str, keys: list[bytes]):
+        """(place in keys, file, place in the file) of the keys that are held."""
+        if not keys:
+            return
+        k = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+        order = np.argsort(k[:, 0], kind="stable")
+        shard = _shard(k[order, 0], self.shards)
+        cuts = np.searchsorted(shard, np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            held = self._file(kind, s)
+            if held is None or not len(held["k1"]):
+                continue
+            at = order[cuts[s] : cuts[s + 1]]
+            place = np.minimum(np.searchsorted(held["k1"], k[at, 0]), len(held["k1"]) - 1)
+            hit = (held["k1"][place] == k[at, 0]) & (held["k2"][place] == k[at, 1])
+            yield from zip(at[hit].tolist(), [held] * int(hit.sum()), place[hit].tolist())
+
+    def ids(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        return {keys[i]: held["data"][held["at"][p] : held["at"][p + 1]].tobytes() for i, held, p in self._find("ids", keys)}
+
+    def owners(self, keys: list[bytes]) -> dict[bytes, int]:
+        return {keys[i]: int(held["owner"][p]) for i, held, p in self._find("shared", keys)}
+
+
+def _shard(k1: np.ndarray, n: int) -> np.ndarray:
+    return (((k1 >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _rows(batch):
+    """(ids with null as -1, texts with null as empty) of a batch, a part at a time, and where the part begins."""
+    names = batch.schema.names
+    ids, texts = batch.column(names.index("doc_id")), batch.column(names.index("text"))
+    for lo in range(0, batch.num_rows, 512):
+        yield lo, [-1 if i is None else i for i in ids.slice(lo, 512).to_pylist()], [t or "" for t in texts.slice(lo, 512).to_pylist()]
+
+
+SENT = "shard long, data binary"
+
+
+def _by_shard(k: np.ndarray, more: dict[str, np.ndarray], n: int):
+    """A batch (shard, packed arrays) of rows that are ordered by k[:, 0]."""
+    shard = _shard(k[:, 0], n)
+    cuts = [*np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist(), len(shard)] if len(shard) else [0]
+    data = [pack({"k1": k[a:b, 0], "k2": k[a:b, 1], **{c: x[a:b] for c, x in more.items()}}) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a in cuts[:-1]], pa.int64()), pa.array(data, pa.binary())], names=["shard", "data"])
+
+
+def _merged(k: np.ndarray, owner: np.ndarray, count: np.ndarray):
+    """Equal keys as one: least owner, summed count; ordered by key."""
+    order = np.lexsort((owner, k[:, 1], k[:, 0]))
+    k, owner, count = k[order], owner[order], count[order]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])) if len(k) else np.zeros(0, np.int64)
+    return k[new], owner[new], np.add.reduceat(count, new) if len(new) else count
+
+
+def _count(path: str, bits: int, shards: int):
+    """Batches of texts to the digests of their stretches: counts and least rows, by shard."""
+
+    def run(batches):
+        worker = ChunkEncoder(path, bits)
+        keys, owners, n = [], [], 0
+
+        def give():
+            k = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+            k, owner, count = _merged(k, np.array(owners, np.int64), np.ones(len(owners), np.int64))
+            keys.clear()
+            owners.clear()
+            return _by_shard(k, {"owner": owner, "count": count}, shards)
+
+        for batch in batches:
+            for _, ids, texts in _rows(batch):
+                for i, text in zip(ids, texts):
+                    plan = worker.plan(text.encode())
+                    keys += [key for key, _ in plan]
+                    owners += [i] * len(plan)
+                if len(keys) > 1_000_000:
+                    yield give()
+        if keys:
+            yield give()
+
+    return run
+
+
+def _keep_shared(folder: str):
+    """Rows in order of their shard: the stretches that stand more than once go to the shard's file."""
+
+    def write(shard, parts):
+        k = np.concatenate([np.stack([p["k1"], p["k2"]], 1) for p in parts])
+        k, owner, count = _merged(k, np.concatenate([p["owner"] for p in parts]), np.concatenate([p["count"] for p in parts]))
+        many = count > 1
+        put(f"{folder}/shared-{shard}", pack({"k1": k[many, 0], "k2": k[many, 1], "owner": owner[many]}))
+        return int(many.sum())
+
+    return _each_shard(write)
+
+
+def _keep_ids(folder: str):
+    """Rows in order of their shard: the encoded stretches go to the shard's file."""
+
+    def write(shard, parts):
+        k = np.concatenate([np.stack([p["k1"], p["k2"]], 1) for p in parts])
+        sizes = np.concatenate([p["size"] for p in parts])
+        data = np.concatenate([p["ids"] for p in parts])
+        start = np.cumsum(sizes) - sizes
+        order = np.lexsort((k[:, 1], k[:, 0]))
+        k = k[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])  # rows with one id may both have encoded it
+        order, k = order[new], k[new]
+        at = np.concatenate([[0], np.cumsum(sizes[order])])
+        body = np.concatenate([data[start[i] : start[i] + sizes[i]] for i in order]) if len(order) else data
+        put(f"{folder}/ids-{shard}", pack({"k1": k[:, 0], "k2": k[:, 1], "at": at, "data": body}))
+        return len(k)
+
+    return _each_shard(write)
+
+
+def _each_shard(write):
+    def run(batches):
+        parts, now = [], None
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if now is not None and shard != now:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([write(now, parts)], pa.int64())], names=["shard", "n"])
+                    parts = []
+                now = shard
+                parts.append(unpack(np.frombuffer(data.as_py(), np.uint8))[0])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([write(now, parts)], pa.int64())], names=["shard", "n"])
+
+    return run
+
+
+def _encode_shared(path: str, bits: int, store: Store):
+    """Batches of texts to the ids of the shared stretches that their rows are the ones to encode, by shard."""
+
     def run(batches):
         worker = ChunkEncoder(path, bits)
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("text"))
-            for lo in range(0, len(texts), 512):
-                part = [t or "" for t in texts.slice(lo, 512).to_pylist()]
-                ids = worker.encode(part)
-                back = worker.decode(ids)
-                others = [batch.column(i).slice(lo, 512) for i, n in enumerate(names) if n != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*others, pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[n for n in names if n != "text"] + ["ids", "decoded"]
-                )
+            for _, ids, texts in _rows(batch):
+                mine: dict[bytes, bytes] = {}
+                of: dict[bytes, tuple[int, bytes]] = {}
+                for i, text in zip(ids, texts):
+                    for key, data in worker.plan(text.encode()):
+                        if key not in of or of[key][0] > i:
+                            of[key] = (i, data)
+                for key, owner in store.owners(list(of)).items():
+                    if of[key][0] == owner:
+                        mine[key] = of[key][1]
+                if not mine:
+                    continue
+                done = worker.stretches(mine)
+                keys = sorted(done, key=lambda x: int.from_bytes(x[:8], "little"))
+                k = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+                shard = _shard(k[:, 0], store.shards)
+                for s in np.unique(shard).tolist():
+                    at = np.flatnonzero(shard == s)
+                    body = [done[keys[j]] for j in at]
+                    data = pack({"k1": k[at, 0], "k2": k[at, 1], "size": np.array([len(x) for x in body], np.int64), "ids": np.frombuffer(b"".join(body), np.uint8)})
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([data], pa.binary())], names=["shard", "data"])
 
     return run
 
 
+def _encode(path: str, bits: int, store: Store | None):
+    def run(batches):
+        worker = ChunkEncoder(path, bits)
+        for batch in batches:
+            ids_column = batch.column(batch.schema.names.index("doc_id"))
+            for lo, ids, texts in _rows(batch):
+                coded = worker.encode(texts, store)
+                yield pa.RecordBatch.from_arrays([ids_column.slice(lo, len(ids)), pa.array(coded, pa.binary()), pa.array(worker.decode(coded), pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def build_store(docs: DataFrame, tokenizer: str = TOKENIZER, bits: int = CHUNK_BITS) -> Store:
+    """Encode every stretch that docs (doc_id, text) hold more than once, each one time, into files of the shared folder."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    shards = max(1, -(-(2 * size >> bits) // SHARD_STRETCHES))
+    folder = f"{common.shared_dir(spark)}/{spark.sparkContext.applicationId}/chunks-{uuid.uuid4().hex[:12]}"
+    store = Store(folder, shards)
+
+    def kept(parts, write):
+        parts = parts.repartitionByRange(min(shards, 4 * common.partitions(spark)), "shard") if shards > 1 else parts.repartition(1)
+        common.stage(parts.sortWithinPartitions("shard").mapInArrow(write, "shard long, n long"), "chunk-shards")
+
+    kept(common.stage(docs.mapInArrow(_count(tokenizer, bits, shards), SENT), "chunk-digests"), _keep_shared(folder))
+    kept(common.stage(docs.mapInArrow(_encode_shared(tokenizer, bits, store), SENT), "chunk-ids"), _keep_ids(folder))
+    return store
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, bits: int = CHUNK_BITS) -> DataFrame:
     """doc_id and text to doc_id, ids (little-endian unsigned 32-bit) and decoded."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, bits), "doc_id long, ids binary, decoded string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(_encode(tokenizer, bits, build_store(docs, tokenizer, bits)), "doc_id long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
