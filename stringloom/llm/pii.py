@@ -183,17 +183,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs, with all columns, with each span of the text replaced by its kind in angle brackets (n_chars follows); overlapping spans: the first."""
     names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans").dropDuplicates(["_d", "_k"])
-    out = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    found = find(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
+    found = found.select(F.col("doc_id").alias("__pii_id"), F.col("key").alias("__pii_key"), F.col("spans").alias("__pii_spans"))
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.xxhash64("text") == F.col("__pii_key")), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
         part = F.array(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
         return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], part).alias("out")))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1)))
-    out = out.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate("__pii_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1)))
+    hit = F.col("__pii_spans").isNotNull()
+    out = out.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)

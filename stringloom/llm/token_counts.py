@@ -84,24 +84,25 @@ def _encode(path: str):
 
 
 def token_counts(docs: DataFrame, cache_path: str, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """docs with n_bytes and n_tokens; counts of contents that the table at cache_path lacks are appended to it first."""
+    """docs with n_bytes and n_tokens (which replace columns of that name); counts of contents that the table at cache_path lacks are appended to it first."""
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
+    docs = docs.drop("n_bytes", "n_tokens")
     content = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.SPACES, " "))
-    keyed = docs.withColumn("_content", content).withColumn("_digest", F.unhex(F.md5(F.col("_content").cast("binary"))))
+    keyed = docs.withColumn("__content", content).withColumn("__digest", F.unhex(F.md5(F.col("__content").cast("binary"))))
     try:
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-        missing = keyed.select(F.col("_digest").alias("digest"), F.col("_content").alias("content")).join(known, "digest", "left_anti")
+        missing = keyed.select(F.col("__digest").alias("digest"), F.col("__content").alias("content")).join(known, "digest", "left_anti")
     except Exception as e:  # no cache yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        missing = keyed.select(F.col("_digest").alias("digest"), F.col("_content").alias("content"))
+        missing = keyed.select(F.col("__digest").alias("digest"), F.col("__content").alias("content"))
     distinct = missing.groupBy("digest").agg(F.first("content").alias("content"))
     counted = distinct.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    known = known.select(F.col("digest").alias("_digest"), "n_tokens").dropDuplicates(["_digest"])  # two runs may have appended one digest
-    return keyed.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")).drop("_content").join(known, "_digest").drop("_digest")
+    known = known.select(F.col("digest").alias("__digest"), "n_tokens").dropDuplicates(["__digest"])  # two runs may have appended one digest
+    return keyed.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")).drop("__content").join(known, "__digest").drop("__digest")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
