@@ -54,29 +54,46 @@ def features(words: Words) -> np.ndarray:
     return out
 
 
-def indices(hashes: np.ndarray) -> np.ndarray:
+def places(hashes: np.ndarray) -> np.ndarray:
     """Places in the weight table; place 0 stands for no feature and keeps weight 0."""
     out = (hashes % np.uint64(TABLE - 1)).astype(np.int64) + 1
     out[hashes == 0] = 0
     return out
 
 
+def tags(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.uint16)
+
+
 def _log_ratio(x, at0, a00, a01, a10, a11):
     """log of (e^x a11 + a01) / (e^x a10 + a00), stable for large |x|."""
     return np.logaddexp(x + a11, a01) - np.logaddexp(x + a10, a00)
 
 
 class Field:
-    """Weights: emission log ratio of the toxic state (bias and a table), transition log weights [from][to], start log ratio."""
+    """Weights: emission log ratio of the toxic state (bias and a table of features with tags), transition log weights [from][to], start log ratio."""
 
     def __init__(self):
-        self.table = np.zeros(TABLE, np.float64)
+        self.table = np.zeros(TABLE, np.float32)
+        #: which feature a place belongs to: others that fall there have no weight
+        self.tag = np.zeros(TABLE, np.uint16)
         self.bias, self.start = -3.0, -2.0
         self.trans = np.zeros((2, 2))
         self.doc = np.array([-2.0, 0.0, 0.0, 0.0])
 
+    def own(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the features that have one, 0 for others."""
+        at = places(hashes)
+        at[self.tag[at] != tags(hashes)] = 0
+        return at
+
+    def take(self, hashes: np.ndarray) -> None:
+        """Give these features their places."""
+        h = hashes[hashes != 0]
+        self.tag[places(h)] = tags(h)
+
     def emissions(self, hashes: np.ndarray) -> np.ndarray:
-        return self.bias + self.table[indices(hashes)].sum(axis=0)
+        return self.bias + self.table[self.own(hashes)].sum(axis=0, dtype=np.float64)
 
     def marginals(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """P(toxic) of every token; first: where the texts' tokens begin, and their end."""
@@ -143,6 +160,37 @@ def toxic_features(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np
     return names[(share > 0.8) & (gain > math.log(max(2, len(names))) + 2)]
 
 
+def likenesses(words: Words, rounds: int = 6) -> np.ndarray:
+    """(rounds, texts): least hashes of the texts' three-word runs; near copies share some."""
+    at, h = words.shingles(3)
+    out = np.empty((rounds, words.n), np.uint64)
+    for i in range(rounds):
+        out[i] = mix(np.arange(words.n, dtype=np.uint64) + words.hash[:1].sum() + np.uint64(1))  # texts of fewer words are like no other
+        least = np.full(words.n, np.uint64(2**64 - 1))
+        np.minimum.at(least, words.doc[at], mix(h ^ mix(np.array([i + 1], np.uint64))))
+        out[i][np.unique(words.doc[at])] = least[np.unique(words.doc[at])]
+    return out
+
+
+def clusters(group: np.ndarray) -> np.ndarray:
+    """A number for each text, equal for those that share a likeness, also by way of others."""
+    n = group.shape[1]
+    of = np.arange(n)
+
+    def root(x):
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    for row in group:
+        order = np.argsort(row, kind="stable")
+        for a, b in zip(order[:-1][row[order[1:]] == row[order[:-1]]].tolist(), order[1:][row[order[1:]] == row[order[:-1]]].tolist()):
+            a, b = root(a), root(b)
+            of[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(n)])
+
+
 def train(texts: list[str], labels: list[int]) -> Field:
     field = Field()
     field.doc = np.array([-20.0, 0, 0, 0])
@@ -153,7 +201,9 @@ def train(texts: list[str], labels: list[int]) -> Field:
     parts = [(lo, Words(column.slice(lo, hi - lo))) for lo, hi in slices(column)]
     hashes = np.concatenate([features(w) for _, w in parts], axis=1)
     doc = np.concatenate([w.doc + lo for lo, w in parts])
-    marks = toxic_features(hashes, doc, label)
+    group = np.concatenate([likenesses(w) for _, w in parts], axis=1)
+    units, unit = np.unique(clusters(group) * 2 + label, return_inverse=True)
+    marks = toxic_features(hashes, unit[doc], units & 1)
     y = (np.isin(hashes[:5], marks).any(axis=0) & (label[doc] == 1)).astype(np.int64)
     # windows: around toxic tokens, and seeded clean ones
     rng = np.random.default_rng(SEED)
@@ -168,7 +218,9 @@ def train(texts: list[str], labels: list[int]) -> Field:
     # padding goes to the end of each window
     order = np.argsort(~inside, axis=1, kind="stable")
     at, inside = np.take_along_axis(at, order, 1), np.take_along_axis(inside, order, 1)
-    _fit(field, indices(hashes)[:, at], y[at], inside, rng)
+    field.take(hashes[:, np.unique(at)])
+    field.take(hashes[:, toxic])
+    _fit(field, field.own(hashes)[:, at], y[at], inside, rng)
     x = []
     for lo, w in parts:
         x.append(field.aggregate(field.marginals(field.emissions(features(w)), w.first), w))
@@ -184,7 +236,7 @@ def _fit(field: Field, idx: np.ndarray, y: np.ndarray, inside: np.ndarray, rng)
     for step in range(STEPS):
         rows = rng.choice(n, min(n, 3000), replace=False)
         ix, yy, ok = idx[:, rows], y[rows], inside[rows]
-        e = field.bias + field.table[ix].sum(axis=0)
+        e = field.bias + field.table[ix].sum(axis=0, dtype=np.float64)
         em = np.stack([np.zeros_like(e), e], 2)  # rows, places, states
         m = len(rows)
         alpha = np.zeros((m, width, 2))
@@ -214,7 +266,7 @@ def _fit(field: Field, idx: np.ndarray, y: np.ndarray, inside: np.ndarray, rng)
         rest = np.array([grad_e.sum() / m, (np.where(ok[:, 0], yy[:, 0] - post[:, 0, 1], 0)).sum() / m, *grad_t.reshape(-1)])
         g_table += grad_table**2
         g_rest += rest**2
-        field.table += 0.5 * grad_table / np.sqrt(g_table)
+        field.table += (0.5 * grad_table / np.sqrt(g_table)).astype(np.float32)
         move = 0.2 * rest / np.sqrt(g_rest)
         field.bias += move[0]
         field.start += move[1]
@@ -248,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
 
 def judge(texts: pa.Array, field: Field, spans: bool = True) -> tuple[np.ndarray, list[str]]:
     """Scores, and the places (code points) of tokens that are rather toxic than not, as start:end joined by commas."""
-    scores, places = np.zeros(len(texts)), [""] * len(texts)
+    scores, where = np.zeros(len(texts)), [""] * len(texts)
     for lo, hi in slices(texts):
         words = Words(texts.slice(lo, hi - lo))
         p = field.marginals(field.emissions(features(words)), words.first)
@@ -261,16 +313,16 @@ def judge(texts: pa.Array, field: Field, spans: bool = True) -> tuple[np.ndarray
             for d, a, b in zip(words.doc[hits].tolist(), (points[words.starts[hits]] - at).tolist(), (points[words.ends[hits]] - at).tolist()):
                 out.setdefault(d, []).append(f"{a}:{b}")
             for d, x in out.items():
-                places[lo + d] = ",".join(x)
-    return scores, places
+                where[lo + d] = ",".join(x)
+    return scores, where
 
 
 def _score(field: Field):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            scores, places = judge(batch.column(names.index("text")), field)
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), pa.array(scores), pa.array(places)], names=["doc_id", "score", "offsets"])
+            scores, where = judge(batch.column(names.index("text")), field)
+            yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), pa.array(scores), pa.array(where)], names=["doc_id", "score", "offsets"])
 
     return run
 
