@@ -70,8 +70,11 @@ class Codec:
     def frequencies(self, encoded: DataFrame) -> frequency.FrequencyIndex:
         return frequency.build(encoded, self.dictionary)
 
-    def sampled_frequencies(self, encoded: DataFrame, share: float = 0.01) -> frequency.FrequencyIndex:
-        return frequency.sampled(encoded, self.dictionary, share=share)
+    def sampled_frequencies(self, encoded: DataFrame, share: float | None = None, strict: bool = False) -> frequency.FrequencyIndex:
+        """share None: as many codes as planning needs, four times the square root of their number."""
+        if share is None:
+            share = frequency.sample_share(encoded.agg(F.sum(F.size("codes"))).first()[0] or 0)
+        return frequency.sampled(encoded, self.dictionary, share=share, strict=strict)
 
     def compression(self, encoded: DataFrame) -> DataFrame:
         return frequency.compression(encoded, self.dictionary, self.column)
@@ -80,3 +83,8 @@ class Codec:
 def ordered(df: DataFrame, key: str) -> DataFrame:
     """Ascending row ids, for results that are compared in order."""
     return df.orderBy(key)
+
+
+def payload(decoded: DataFrame, key: str, value: str = "value") -> bytes:
+    """The whole column as one byte string in key order, streamed to the driver a partition at a time; for columns that fit there."""
+    return b"".join(bytes(r[value]) for r in decoded.where(F.col(value).isNotNull()).select(key, F.col(value).cast("binary").alias(value)).orderBy(key).toLocalIterator())

@@ -1,6 +1,7 @@
 """The token-frequency index: how often each code occurs, as cumulative counts."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -94,6 +95,21 @@ def sampled(df: DataFrame, dictionary: Dictionary, codes: str = "codes", share:
     return build(part, dictionary, codes)
 
 
+def sample_share(n_codes: int) -> float:
+    """The share of n codes that planning a scan samples: four times the square root of their number, or all."""
+    return 1.0 if n_codes <= 16 else min(1.0, 4 * math.isqrt(n_codes) / n_codes)
+
+
+def from_table(table: DataFrame) -> FrequencyIndex:
+    """The index of a stored table (code, cnt), as `counts` writes it: checked for gaps, and so for its size."""
+    rows = sorted((r["code"], r["cnt"]) for r in table.select("code", "cnt").limit(MAX_TOKENS + 1).collect())
+    if [c for c, _ in rows] != list(range(len(rows))):
+        raise InvalidFrequencyIndex(IndexDefect.CODE_OUT_OF_RANGE)
+    if any(n < 0 for _, n in rows):
+        raise InvalidFrequencyIndex(IndexDefect.DECREASING)
+    return FrequencyIndex.of_counts([n for _, n in rows], None)
+
+
 def compression(df: DataFrame, dictionary: Dictionary, value: str, codes: str = "codes") -> DataFrame:
     """One row: raw and stored bytes of a column (dictionary, its offsets, two bytes a code, row offsets) and their ratio."""
     fixed = dictionary.logical_len + 4 * (dictionary.num_tokens + 1)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.api import Codec
+from stringloom.api import Codec, payload
 from stringloom.config import Config
 from stringloom.errors import Defect, InvalidColumn, OutputTooSmall
 from stringloom.functions.dictionary import Dictionary
@@ -80,6 +80,7 @@ def test_row_access_and_capacity(spark):
     made = Codec.fit(df, "v", Config(threshold=1.0))
     rows = made.transform(df)
     assert [r["value"] for r in made.decode_row(rows, "row_id", 2).collect()] == ["apricot"]
+    assert payload(made.decode(rows), "row_id") == b"applebananaapricotcherryapple"
     codes = made.dictionary.tokenize(b"banana")
     with pytest.raises(OutputTooSmall):
         ops.decode_bytes(codes, made.dictionary, 5)

@@ -133,6 +133,8 @@ def test_frequency_on_tables(spark):
     rows = sorted(tuple(r) for r in frequency.counts(df, d).collect())
     assert rows == [(0, 2, 0), (1, 0, 2), (2, 3, 2), (3, 1, 5), (4, 0, 6)]
     assert frequency.sampled(df, d, share=1.0).total == 6
+    assert frequency.from_table(frequency.counts(df, d)).cumulative == [0, 2, 2, 5, 6, 6]
+    assert (frequency.sample_share(10), frequency.sample_share(10_000)) == (1.0, 0.04)
     bad = spark.createDataFrame([([9],)], "codes array<int>")
     with pytest.raises(InvalidFrequencyIndex):
         frequency.build(bad, d)
@@ -157,6 +159,7 @@ def test_searches_equal_plain_ones(spark):
         assert ids(made.containing(rows, needle)) == want
         assert ids(made.containing_with_scan(rows, needle, index)) == want
         assert ids(made.containing_with_scan(rows, needle)) == want
+        assert ids(made.containing_with_scan(rows, needle, made.sampled_frequencies(rows))) == want if needle in ("a", "apple", "") else True
 
 
 def test_long_pattern(spark):
