@@ -32,7 +32,7 @@ from stringloom.llm import common
 from stringloom.llm.words import Words, mix, slices
 
 FOLDS, TRAIN_DOCS, TRAIN_BYTES = 5, 6_000, 24_000_000
-TABLE, WINDOW, STEPS, CLEAN_WINDOWS, TOXIC_WINDOWS, FLOOR, SEED = 1 << 20, 6, 200, 24_000, 8_000, 0.05, 5
+TABLE, WINDOW, STEPS, CLEAN_WINDOWS, TOXIC_WINDOWS, ROUNDS, FLOOR, SEED = 1 << 20, 6, 200, 24_000, 8_000, 4, 0.05, 5
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _TEMPLATES = 5
@@ -153,7 +153,7 @@ def toxic_features(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np
     names, at = np.unique(h, return_inverse=True)
     a = np.bincount(at, label[d] == 1, len(names))
     b = np.bincount(at, label[d] == 0, len(names))
-    base = min(max(label.mean(), 1e-3), 0.999)
+    base = min(max(label[np.unique(d)].mean() if len(d) else 0.5, 1e-3), 0.999)
     share = a / np.maximum(1, a + b)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = a * np.log(np.maximum(share, 1e-12) / base) + np.where(b > 0, b * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
@@ -203,8 +203,16 @@ def train(texts: list[str], labels: list[int]) -> Field:
     doc = np.concatenate([w.doc + lo for lo, w in parts])
     group = np.concatenate([likenesses(w) for _, w in parts], axis=1)
     units, unit = np.unique(clusters(group) * 2 + label, return_inverse=True)
-    marks = toxic_features(hashes, unit[doc], units & 1)
-    y = (np.isin(hashes[:5], marks).any(axis=0) & (label[doc] == 1)).astype(np.int64)
+    y = np.zeros(len(doc), np.int64)
+    for _ in range(ROUNDS):
+        # the clean documents, and the toxic ones that no marked token explains yet: fewer, so that rarer features stand out
+        explained = np.bincount(doc, y, len(label)) > 0
+        open_ = ~explained[doc]
+        marks = toxic_features(hashes[:, open_], unit[doc[open_]], units & 1)
+        found = np.isin(hashes, marks).any(axis=0) & (label[doc] == 1) & (y == 0)
+        if not found.any():
+            break
+        y[found] = 1
     # windows: around toxic tokens, and seeded clean ones
     rng = np.random.default_rng(SEED)
     toxic = np.flatnonzero(y)
