@@ -98,7 +98,23 @@ class EliasFano:
         out[some] = w * 64 + at - k
         return out
 
-    def find(self, values: np.ndarray) -> np.ndarray:
+    def value(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values: the place of the i-th one among the high bits, less i, is its bucket."""
+        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        w = np.searchsorted(ones, i, "right") - 1
+        left, word, at = i - ones[w], np.asarray(self.high[w]), np.zeros(len(i), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            part = word & np.uint64((1 << width) - 1)
+            c = np.bitwise_count(part).astype(np.int64)
+            go = left >= c
+            left = np.where(go, left - c, left)
+            at += np.where(go, width, 0)
+            word = np.where(go, word >> np.uint64(width), part)
+        high = (w * 64 + at - i).astype(np.uint64)
+        return (high << np.uint64(self.bits)) | self.low[i].astype(np.uint64)
+
+    def find(self, values: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Places of the values, or -1; begin and stop: the places among which each may stand."""
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
@@ -107,6 +123,9 @@ class EliasFano:
         h, want = h[can], (values[can] & np.uint64((1 << self.bits) - 1))
         lo = self._before(h)
         hi = self._before(h + 1)
+        if begin is not None:
+            lo, hi = np.maximum(lo, begin[can]), np.minimum(hi, stop[can])
+            hi = np.maximum(lo, hi)
         end = hi.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:  # the successor among the bucket's members
             middle = (lo[open_] + hi[open_]) >> 1
@@ -334,7 +353,7 @@ class Model:
         if s not in self._open:
             try:
                 a, _ = unpack(get(f"{self.folder}/pairs-{s}"))
-                self._open[s] = (EliasFano(a, "ctx"), EliasFano(a, "key"), a["p"], a["left"])
+                self._open[s] = (EliasFano(a, "ctx"), EliasFano(a, "ptr"), EliasFano(a, "key"), a["p"], a["left"])
             except FileNotFoundError:
                 self._open[s] = None
         return self._open[s]
@@ -358,18 +377,23 @@ class Model:
                 level = self.shard(s)
                 if level is None:
                     continue
-                contexts, followers, p, l = level
+                contexts, pointers, followers, p, l = level
                 keys = k_sorted[cuts[s] : cuts[s + 1]]
                 new = np.concatenate([[True], keys[1:] != keys[:-1]])
                 back = np.cumsum(new) - 1
                 keys = keys[new]
                 c = keys // width
                 cnew = np.concatenate([[True], c[1:] != c[:-1]])
-                place = contexts.find(c[cnew])[np.cumsum(cnew) - 1]
+                names = contexts.find(c[cnew])
+                known = np.flatnonzero(names >= 0)
+                first, last = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+                first[known], last[known] = pointers.value(names[known]), pointers.value(names[known] + 1)
+                of = np.cumsum(cnew) - 1
+                place, first, last = names[of], first[of], last[of]
                 has = np.flatnonzero(place >= 0)
                 lv, sv = np.ones(len(keys)), np.zeros(len(keys))
                 lv[has] = 10.0 ** (-l[place[has]].astype(float) / (4 * STEP))
-                found = followers.find((place[has].astype(np.uint64)) * width + keys[has] % width)
+                found = followers.find((place[has].astype(np.uint64)) * width + keys[has] % width, first[has], last[has])
                 ok = found >= 0
                 sv[has[ok]] = 10.0 ** (-p[found[ok]].astype(float) / STEP)
                 left[can[at]], seen[can[at]] = lv[back], sv[back]
@@ -423,6 +447,7 @@ def _write_pairs(folder: str, model: Model, counts_of):
         bytes_ = np.minimum(255, bytes_ + full[place]).astype(np.uint8)
         used = np.add.reduceat(10.0 ** (-bytes_.astype(float) / STEP), begin)
         arrays = EliasFano.build(names.astype(np.uint64), "ctx") | EliasFano.build(place.astype(np.uint64) * width + keys % width, "key")
+        arrays |= EliasFano.build(np.append(begin, len(keys)).astype(np.uint64), "ptr")
         arrays |= {"p": bytes_, "left": quantise(np.clip(1 - used, LEAST, 1), 4 * STEP)}
         put(f"{folder}/pairs-{shard}", pack(arrays))
         return shard, len(keys), int(names[0]), float(used[0]), int(names[-1]), float(used[-1])

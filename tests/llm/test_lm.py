@@ -26,6 +26,8 @@ def test_elias_fano():
         made = lm.EliasFano(lm.EliasFano.build(values, "x"), "x")
         asked = np.concatenate([values, rng.integers(0, top, 700, dtype=np.uint64)])
         place = {int(v): i for i, v in enumerate(values)}
+        assert (made.value(np.arange(len(values))) == values).all()
+        assert made.find(asked, np.zeros(len(asked), int), np.full(len(asked), 3)).tolist() == [place.get(int(v), -1) if place.get(int(v), 9) < 3 else -1 for v in asked]
         assert made.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
     empty = lm.EliasFano(lm.EliasFano.build(np.zeros(0, np.uint64), "x"), "x")
     assert empty.find(np.array([3], np.uint64)).tolist() == [-1]
