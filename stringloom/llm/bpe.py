@@ -12,7 +12,7 @@ those of the stretches between agreement points, one after the other.
 Cores and joins that stand more than once in the corpus are encoded once, in the whole cluster: the digests of all are counted (they alone
 travel), the row with the least id that holds a shared one encodes it, and the ids go to files of the shared folder, by digest,
 which all workers map into memory. What stands once is encoded where it is. Texts are never shuffled. Words, too, are remembered by a worker
-(bounded, emptied when full), so that even new stretches seldom reach the library.
+(bounded in number), so that even new stretches seldom reach the library.
 
 Defined results: null text counts as empty (0 ids, empty text back); repeated rows give a row each; an empty table gives no rows.
 """
@@ -36,10 +36,10 @@ from stringloom.llm.files import get, pack, put, unpack
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A chunk ends on average after 2 ** CHUNK_BITS bytes.
 CHUNK_BITS = 9
-#: Pieces (words with their blank) whose ids a worker remembers.
-MEMORY_PIECES = 1_000_000
+#: Pieces (words with their blank) whose ids a worker remembers: up to twice as many, the older half only until the next change.
+MEMORY_PIECES = 250_000
 #: Stretches in a file of the store, about.
-SHARD_STRETCHES = 2_000_000
+SHARD_STRETCHES = 500_000
 _ODD = re.compile(r"\s\s|\s\Z|\x00")
 #: A point or comma after something else than a letter or digit: it may belong to a longer run.
 _PUNCTUATION = re.compile(r"[\W_][.,]")
@@ -71,6 +71,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.bits = bits
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.table: list[bytes] | None = None
         self.reused = self.encoded = 0
 
@@ -94,10 +95,15 @@ class ChunkEncoder:
                 parts[key] = pieces = _pieces(data.decode())
                 wanted.update(pieces)
         self.encoded += len(parts)
-        new = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(new) > MEMORY_PIECES:
-            self.pieces = {}
-            new = list(wanted)
+        if len(self.pieces) > MEMORY_PIECES:  # what was not asked for since the last time is forgotten
+            self.older, self.pieces = self.pieces, {}
+        new = []
+        for piece in wanted.difference(self.pieces):
+            ids = self.older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.pieces[piece] = ids
         self.pieces.update(zip(new, self.library(new)))
         for key, pieces in parts.items():
             out[key] = b"".join(map(self.pieces.__getitem__, pieces))
