@@ -30,17 +30,25 @@ def encode(df: DataFrame, column: str, dictionary: Dictionary, codes: str | None
         matcher = Matcher(dictionary)
         for batch in batches:
             values = batch.column(batch.num_columns - 1)
-            lists = [None if v is None else matcher.codes(v) for v in values.to_pylist()]
+            units = [None if v is None else matcher.packed(v) for v in values.to_pylist()]
             out = [batch.column(i) for i in range(len(names))]
             if codes:
-                out.append(pa.array(lists, pa.list_(pa.int32())))
+                out.append(_lists(units))
             if packed:
-                out.append(pa.array([None if x is None else np.array(x, ">u2").tobytes() for x in lists], pa.binary()))
+                out.append(pa.array(units, pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
 
 
+def _lists(units: list[bytes | None]) -> pa.Array:
+    """Packed rows to lists of codes, through one flat array."""
+    flat = np.frombuffer(b"".join([u for u in units if u is not None]), ">u2").astype(np.int32)
+    ends = np.cumsum([0, *(0 if u is None else len(u) // 2 for u in units)]).astype(np.int32)
+    missing = pa.array([u is None for u in units], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=missing if missing.true_count else None)
+
+
 def pack(codes: list[int]) -> bytes:
     return b"".join(c.to_bytes(2, "big") for c in codes)
 

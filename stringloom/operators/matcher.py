@@ -1,6 +1,8 @@
 """Greedy longest-prefix matching on the workers."""
 from __future__ import annotations
 
+import numpy as np
+
 from stringloom.config import MAX_TOKEN
 from stringloom.functions.dictionary import Dictionary
 
@@ -11,11 +13,11 @@ except ImportError:  # an optional accelerator; the plain matcher gives the same
 
 
 class Matcher:
-    """Codes of whole rows under one dictionary."""
+    """Codes of whole rows under one dictionary, as big-endian 16-bit units."""
 
     def __init__(self, dictionary: Dictionary, accelerate: bool = True):
         self.single = dictionary.num_tokens == 256 and dictionary.complete
-        self.index = {t: i for i, t in enumerate(dictionary.tokens)}
+        self.index = {t: i.to_bytes(2, "big") for i, t in enumerate(dictionary.tokens)}
         # the longest token for each pair of first bytes bounds how far to look
         self.reach: dict[bytes, int] = {}
         for t in dictionary.tokens:
@@ -23,25 +25,27 @@ class Matcher:
         self.automaton = None
         if accelerate and ahocorasick is not None and not self.single and dictionary.complete:
             self.automaton = ahocorasick.Automaton()
-            for i, t in enumerate(dictionary.tokens):
-                self.automaton.add_word(t.decode("latin-1"), i)
+            for t, unit in self.index.items():
+                self.automaton.add_word(t.decode("latin-1"), unit)
             self.automaton.make_automaton()
 
-    def codes(self, row: bytes) -> list[int]:
+    def packed(self, row: bytes) -> bytes:
         if self.single:
-            return list(row)
+            return np.frombuffer(row, np.uint8).astype(">u2").tobytes()
         if self.automaton is not None:
-            return [code for _, code in self.automaton.iter_long(row.decode("latin-1"))]
+            return b"".join([unit for _, unit in self.automaton.iter_long(row.decode("latin-1"))])
         out, at, index, reach = [], 0, self.index, self.reach
         while at < len(row):
-            longest = reach.get(row[at : at + 2], 1)
-            for n in range(min(longest, MAX_TOKEN), 0, -1):
-                code = index.get(row[at : at + n])
-                if code is not None and at + n <= len(row):
-                    out.append(code)
+            for n in range(min(reach.get(row[at : at + 2], 1), MAX_TOKEN, len(row) - at), 0, -1):
+                unit = index.get(row[at : at + n])
+                if unit is not None:
+                    out.append(unit)
                     at += n
                     break
-            else:
-                out.append(0)
+            else:  # no token starts here: only with an incomplete dictionary
+                out.append(b"\0\0")
                 at += 1
-        return out
+        return b"".join(out)
+
+    def codes(self, row: bytes) -> list[int]:
+        return np.frombuffer(self.packed(row), ">u2").tolist()
