@@ -12,7 +12,7 @@ the recursion is solved for all texts of a batch at once: tokens whose predecess
 than 1e-9. The document score is a logistic function, fitted on the training sample, of the summed marginals above FLOOR, the largest one,
 and the sum's density.
 
-Training rows: crc32(doc_id as text) mod 5 is not 0. The sample is bounded by TRAIN_DOCS documents and TRAIN_BYTES of text (expected,
+The sample is trained on in one task; its bound holds for any input. Training rows: crc32(doc_id as text) mod 5 is not 0. The sample is bounded by TRAIN_DOCS documents and TRAIN_BYTES of text (expected,
 by hash of the id). Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without toxic tokens; rows are scored each, repeated or not; documents
@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from stringloom.llm import common
 from stringloom.llm.words import Words, mix, slices
 
-FOLDS, TRAIN_DOCS, TRAIN_BYTES = 5, 6_000, 24_000_000
+FOLDS, TRAIN_DOCS, TRAIN_BYTES = 5, 6_000, 16_000_000
 TABLE, WINDOW, STEPS, CLEAN_WINDOWS, TOXIC_WINDOWS, ROUNDS, FLOOR, SEED = 1 << 20, 6, 200, 24_000, 8_000, 4, 0.05, 5
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -141,23 +142,37 @@ class Field:
 
 
 def toxic_features(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Features (of the first five templates) that mark toxic documents beyond chance."""
-    h = hashes[:5].reshape(-1)
-    d = np.tile(doc, 5)
-    h, d = h[h != 0], d[h != 0]
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    names, at = np.unique(h, return_inverse=True)
-    a = np.bincount(at, label[d] == 1, len(names))
-    b = np.bincount(at, label[d] == 0, len(names))
-    base = min(max(label[np.unique(d)].mean() if len(d) else 0.5, 1e-3), 0.999)
-    share = a / np.maximum(1, a + b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = a * np.log(np.maximum(share, 1e-12) / base) + np.where(b > 0, b * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
-    return names[(share > 0.8) & (gain > math.log(max(2, len(names))) + 2)]
+    """Sorted features that mark toxic documents beyond chance; a template at a time, to bound the memory."""
+    there = np.unique(doc)
+    base = min(max(label[there].mean() if len(there) else 0.5, 1e-3), 0.999)
+    n, kept, gains = 2, [], []
+    for h in hashes:
+        d = doc[h != 0]
+        h = h[h != 0]
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d = h[new], d[new]
+        names, at = np.unique(h, return_inverse=True)
+        a = np.bincount(at, label[d] == 1, len(names))
+        b = np.bincount(at, label[d] == 0, len(names))
+        share = a / np.maximum(1, a + b)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = a * np.log(np.maximum(share, 1e-12) / base) + np.where(b > 0, b * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
+        n += len(names)
+        kept.append(names[share > 0.8])
+        gains.append(gain[share > 0.8])
+    return np.sort(np.concatenate(kept)[np.concatenate(gains) > math.log(n) + 2])
+
+
+def holds(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which tokens have one of the (sorted) features."""
+    out = np.zeros(hashes.shape[1], bool)
+    if len(marks):
+        for h in hashes:
+            out |= marks[np.minimum(np.searchsorted(marks, h), len(marks) - 1)] == h
+    return out
 
 
 def likenesses(words: Words, rounds: int = 6) -> np.ndarray:
@@ -198,10 +213,13 @@ def train(texts: list[str], labels: list[int]) -> Field:
     if not len(label) or label.min() == label.max():
         return field
     column = pa.array(texts, pa.string())
-    parts = [(lo, Words(column.slice(lo, hi - lo))) for lo, hi in slices(column)]
-    hashes = np.concatenate([features(w) for _, w in parts], axis=1)
-    doc = np.concatenate([w.doc + lo for lo, w in parts])
-    group = np.concatenate([likenesses(w) for _, w in parts], axis=1)
+    hashes, doc, group = [], [], []
+    for lo, hi in slices(column):
+        words = Words(column.slice(lo, hi - lo))
+        hashes.append(features(words))
+        doc.append(words.doc + lo)
+        group.append(likenesses(words))
+    hashes, doc, group = np.concatenate(hashes, axis=1), np.concatenate(doc), np.concatenate(group, axis=1)
     units, unit = np.unique(clusters(group) * 2 + label, return_inverse=True)
     y = np.zeros(len(doc), np.int64)
     for _ in range(ROUNDS):
@@ -209,7 +227,7 @@ def train(texts: list[str], labels: list[int]) -> Field:
         explained = np.bincount(doc, y, len(label)) > 0
         open_ = ~explained[doc]
         marks = toxic_features(hashes[:, open_], unit[doc[open_]], units & 1)
-        found = np.isin(hashes, marks).any(axis=0) & (label[doc] == 1) & (y == 0)
+        found = holds(marks, hashes) & (label[doc] == 1) & (y == 0)
         if not found.any():
             break
         y[found] = 1
@@ -228,12 +246,13 @@ def train(texts: list[str], labels: list[int]) -> Field:
     at, inside = np.take_along_axis(at, order, 1), np.take_along_axis(inside, order, 1)
     field.take(hashes[:, np.unique(at)])
     field.take(hashes[:, toxic])
-    _fit(field, field.own(hashes)[:, at], y[at], inside, rng)
+    _fit(field, field.own(hashes[:, at.reshape(-1)]).reshape(_TEMPLATES, *at.shape), y[at], inside, rng)
+    del hashes, doc
     x = []
-    for lo, w in parts:
-        x.append(field.aggregate(field.marginals(field.emissions(features(w)), w.first), w))
-    x = np.concatenate(x)
-    field.doc = _logistic(x, label)
+    for lo, hi in slices(column):
+        words = Words(column.slice(lo, hi - lo))
+        x.append(field.aggregate(field.marginals(field.emissions(features(words)), words.first), words))
+    field.doc = _logistic(np.concatenate(x), label)
     return field
 
 
@@ -297,13 +316,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """The field of the bounded training sample."""
+    def below(share: float, *columns: str):
+        return F.pmod(F.xxhash64(F.lit(SEED), *columns), F.lit(1_000_000)) < int(share * 1_000_000)
+
     chosen = labels.where("toxic in (0, 1)").where(common.crc_of_id() % FOLDS != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    both = docs.select("doc_id", "text").join(chosen, "doc_id")
-    size = both.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    share = min(1.0, TRAIN_DOCS / max(1, size["n"]), TRAIN_BYTES / max(1, size["bytes"] or 0))
-    part = both.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in part.toLocalIterator())
-    return train([r[2] for r in rows], [r[1] for r in rows])
+    ids = chosen.where(below(min(1.0, TRAIN_DOCS / max(1, chosen.count())), "doc_id")).limit(2 * TRAIN_DOCS)
+    # only the chosen rows leave the scan; repeated ones count once
+    both = common.stage(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct(), "sample")
+    size = both.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    part = both.where(below(min(1.0, TRAIN_BYTES / max(1, size)), "doc_id", "text"))
+    made = part.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_train, "field binary").collect()
+    return pickle.loads(made[0]["field"]) if made else train([], [])
+
+
+def _train(batches):
+    """The bounded sample, in one task, to the field."""
+    rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+    rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] or "" for r in rows], [r[2] for r in rows]))], pa.binary())], names=["field"])
 
 
 def judge(texts: pa.Array, field: Field, spans: bool = True) -> tuple[np.ndarray, list[str]]:
