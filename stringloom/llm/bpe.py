@@ -72,7 +72,7 @@ class ChunkEncoder:
         self.bits = bits
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.table: list[bytes] | None = None
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.reused = self.encoded = 0
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -128,10 +128,19 @@ class ChunkEncoder:
         return [(hashlib.blake2b(x, digest_size=16).digest(), x) for x in out]
 
     def decode(self, all_ids: list[bytes]) -> list[str]:
-        """Tokens stand for bytes, so the text is the tokens' bytes in order (special tokens: their strings)."""
+        """Tokens stand for bytes, so the text is the tokens' bytes in order (special tokens: their strings); all texts are gathered at once."""
         if self.table is None:
-            self.table = token_bytes(self.tokenizer)
-        return [b"".join(map(self.table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode(errors="replace") for x in all_ids]
+            tokens = token_bytes(self.tokenizer)
+            size = np.array([len(t) for t in tokens])
+            self.table = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
+        data, start, size = self.table
+        ids = np.frombuffer(b"".join(all_ids), "<u4")
+        lengths = size[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        body = data[np.arange(total) + np.repeat(start[ids] - ends + lengths, lengths)].tobytes()
+        edge = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) // 4 for x in all_ids)])].tolist()
+        return [body[a:b].decode(errors="replace") for a, b in zip(edge[:-1], edge[1:])]
 
 
 def token_bytes(tokenizer) -> list[bytes]:
