@@ -2,7 +2,8 @@
 
 Tokens: words (A-Z lower-cased, runs of anything but ASCII white space), then one end token. Training texts: crc32(doc_id as text) mod 10 is not 0.
 
-Model: P(w | v) = max(c(v w) - D, 0) / C(v) + L(v) * U(w), U(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), for pairs seen at least MIN_PAIR times;
+Model: P(w | v) = max(c(v w) - D, 0) / C(v) + L(v) * U(w), U(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), for pairs seen at least min_pair times:
+the query keeps every pair (min_pair = 1), train() alone those seen MIN_PAIR times unless told otherwise;
 L(v) is what the discounted pairs of v leave over, so the probabilities of a context sum to 1 (up to quantising). The context of the first
 word is a begin token, seen once a text. Unknown contexts: L = 1.
 
@@ -319,8 +320,8 @@ def pair_shard(ctx: np.ndarray, word: np.ndarray, before: np.ndarray, count: np.
 
 
 class Model:
-    def __init__(self, folder: str, vocabulary: Vocabulary, total: int, texts: int, pair_shards: int, shard_totals: list[int]):
-        self.folder, self.vocabulary, self.total, self.texts, self.pair_shards = folder, vocabulary, total, texts, pair_shards
+    def __init__(self, folder: str, vocabulary: Vocabulary, total: int, texts: int, pair_shards: int, shard_totals: list[int], min_pair: int = MIN_PAIR):
+        self.folder, self.vocabulary, self.total, self.texts, self.pair_shards, self.min_pair = folder, vocabulary, total, texts, pair_shards, min_pair
         #: tokens of words in earlier hash shards
         self.shard_totals = shard_totals
         self.n_words = int(vocabulary.first[-1])
@@ -430,7 +431,7 @@ def _write_pairs(folder: str, model: Model, counts_of):
     """Level 2 of one range. Its first and last context may go on in the next range: what they leave over is put together later."""
 
     def build(shard, keys, counts):
-        keep = counts >= MIN_PAIR
+        keep = counts >= model.min_pair
         keys, counts = keys[keep], counts[keep]
         width = np.uint64(model.n_words + 1)
         if not len(keys):
@@ -477,7 +478,7 @@ def _pair_keys(model: Model):
 
     def keys(texts):
         _, ids, counts, ctx, c_ctx, _ = model.pairs_of(texts)
-        can = (c_ctx >= MIN_PAIR) & (counts >= MIN_PAIR)  # others can't be seen often enough together
+        can = (c_ctx >= model.min_pair) & (counts >= model.min_pair)  # others can't be seen often enough together
         return ctx[can].astype(np.uint64) * width + ids[can].astype(np.uint64)
 
     return keys
@@ -510,8 +511,8 @@ def _word_keys(texts):
     return _tokens(texts)[0]
 
 
-def train(docs: DataFrame, folder: str) -> Model:
-    """Build the trie of docs (doc_id, text) in folder."""
+def train(docs: DataFrame, folder: str, min_pair: int = MIN_PAIR) -> Model:
+    """Build the trie of docs (doc_id, text) in folder, of the pairs seen at least min_pair times."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((common.crc_of_id() % FOLDS != 0).cast("long")).alias("texts")).first()
@@ -529,7 +530,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     sizes = [rows[s]["n"] if s in rows else 0 for s in range(n_words)]
     totals = np.concatenate([[0], np.cumsum([rows[s]["total"] if s in rows else 0 for s in range(n_words)])]).astype(np.int64).tolist()
     vocabulary = Vocabulary(folder, sizes)
-    model = Model(folder, vocabulary, totals[-1], int(size["texts"] or 0), n_pairs, totals[:-1])
+    model = Model(folder, vocabulary, totals[-1], int(size["texts"] or 0), n_pairs, totals[:-1], min_pair)
     counted = common.stage(docs.mapInArrow(_count(_pair_keys(model), _pair_shards(model)), SENT), "pair-counts")
     names = ["shard", "n", "first", "first_used", "last", "last_used"]
     rows = merged(counted, n_pairs, _write_pairs(folder, model, _Counts(model)), names, "shard long, n long, first long, first_used double, last long, last_used double")
@@ -565,4 +566,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     folder = f"{common.shared_dir(spark)}/{spark.sparkContext.applicationId}/lm-{uuid.uuid4().hex[:12]}"
-    return score(docs, train(docs, folder))
+    return score(docs, train(docs, folder, min_pair=1))

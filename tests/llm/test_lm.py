@@ -118,3 +118,25 @@ def test_no_rows(spark, tmp_path):
 def test_beats_single_words_on_held_out_texts(spark):
     rows = lm.op8_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_query_keeps_pairs_seen_once(spark, tmp_path):
+    train_ids, held_id = [i for i in range(100) if not held(i)], next(i for i in range(100) if held(i))
+    rows = [(train_ids[0], "a b c"), (train_ids[1], "a d c"), (train_ids[2], "e f"), (held_id, "e f a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in lm.op8_lm_scoring(spark, str(tmp_path)).collect()}
+    words, pairs, of = Counter(), Counter(), Counter()
+    for i, t in rows[:3]:
+        x = tokens(t)
+        words.update(x)
+        pairs.update(zip(["<s>", *x], x))
+        of.update(["<s>", *x[:-1]])
+    n, v = sum(words.values()), len(words)
+    share = {p: (c - 0.5) / of[p[0]] for p, c in pairs.items()}
+    for i, t in rows:
+        x = tokens(t)
+        want = 0.0
+        for a, w in zip(["<s>", *x], x):
+            left = 1 - sum(s for (b, _), s in share.items() if b == a)
+            want += math.log10(share.get((a, w), 0.0) + left * (words[w] + 0.1) / (n + 0.1 * (v + 1)))
+        assert got[i]["score"] == pytest.approx(want, abs=0.04 * len(x))
