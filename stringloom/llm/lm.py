@@ -325,7 +325,7 @@ class Model:
         #: tokens of words in earlier hash shards
         self.shard_totals = shard_totals
         self.n_words = int(vocabulary.first[-1])
-        self.left: dict[int, float] = {}  # L of the contexts that lie in several pair shards
+        self.left: dict[int, float] = {}  # L of each pair shard's first and last context: only they can reach into other shards
         self._open: dict[int, tuple] = {}
 
     def __getstate__(self):
@@ -539,7 +539,8 @@ def train(docs: DataFrame, folder: str, min_pair: int = MIN_PAIR) -> Model:
         for end in {("first", "first_used"), ("last", "last_used")} if r["first"] != r["last"] else {("first", "first_used")}:
             if r["n"]:
                 used.setdefault(r[end[0]], []).append(r[end[1]])
-    model.left = {c: max(LEAST, 1 - sum(u)) for c, u in used.items() if len(u) > 1}
+    # also with pairs in one shard alone: the context's range may reach into a shard that holds none of them
+    model.left = {c: max(LEAST, 1 - sum(u)) for c, u in used.items()}
     return model
 
 

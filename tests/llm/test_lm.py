@@ -140,3 +140,19 @@ def test_query_keeps_pairs_seen_once(spark, tmp_path):
             left = 1 - sum(s for (b, _), s in share.items() if b == a)
             want += math.log10(share.get((a, w), 0.0) + left * (words[w] + 0.1) / (n + 0.1 * (v + 1)))
         assert got[i]["score"] == pytest.approx(want, abs=0.04 * len(x))
+
+
+def test_left_over_weight_does_not_depend_on_shards(spark, monkeypatch, tmp_path):
+    train_ids, held_ids = [i for i in range(3000) if not held(i)], [i for i in range(9000) if held(i)]
+    names = [f"w{i}" for i in range(25)]
+    rows = [(train_ids[i], f"{a} {names[(7 * i + 3) % 25]} " * 4) for i, a in enumerate(names)]
+    rows += [(held_ids[i], f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in names for b in names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for shard in (8_000_000, 40):
+        monkeypatch.setattr(lm, "SHARD_PAIRS", shard)
+        model = lm.train(df, f"file://{tmp_path}/{shard}", min_pair=1)
+        scores.append({r["doc_id"]: (r["score"], r["n_tokens"]) for r in lm.score(df, model).collect()})
+    assert model.pair_shards > 10
+    for i, (score, n) in scores[0].items():
+        assert abs(scores[1][i][0] - score) <= 0.04 * n
