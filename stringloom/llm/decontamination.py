@@ -2,7 +2,8 @@
 
 For each benchmark item, windows of a document with as many words as the item are fingerprinted (64-bit SimHash of their weighted
 shingles). Fingerprints are looked up in multi-index Hamming blocks: RADIUS + 1 blocks, of which at least one must agree if the
-distance is at most RADIUS, so every item within the radius is found. Candidates are then verified by the exact weighted similarity of
+distance is at most RADIUS, so every item within the radius is found. A document of fewer words than the item is one window as a
+whole and a candidate for the item without look-up. Candidates are then verified by the exact weighted similarity of
 their shingles, 2 * common / (window + item) (Dice), at least 0.8; a shingle weighs 1 + ln(items / items that hold it), so that phrases
 shared by many items count less.
 
@@ -100,7 +101,7 @@ def _shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 def leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, float, int, int, int]]:
     """(row, item's place, similarity, first word, words, distance of fingerprints) of the best window for each row and item."""
     words = Words(texts)
-    windows: set[tuple[int, int, int]] = set()  # text, first word, words
+    windows: dict[tuple[int, int, int], set[int]] = defaultdict(set)  # text, first word, words -> items that are longer than the text
     for k, of in items.of.items():
         at, h = words.shingles(k)
         hit = np.flatnonzero(items.sieve[k][h & np.uint64((1 << 22) - 1)])
@@ -110,15 +111,17 @@ def leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, float, int, int
             for item, offset in of.get(value, ()):
                 n = int(items.length[item])
                 start = min(max(lo, place - offset), max(lo, hi - n))
-                windows.add((doc, start, min(n, hi - start)))
+                longer = windows[doc, start, min(n, hi - start)]
+                if n > hi - lo:
+                    longer.add(item)
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    for doc, start, n in sorted(windows):
+    for (doc, start, n), longer in sorted(windows.items(), key=lambda w: w[0]):
         for k in {min(SHINGLE, n)} & set(items.of):
             bag = items.bag(_shingles(words.hash[start : start + n], k))
             if not bag:
                 continue
             p = items.print(bag)
-            for item in items.near(p, n):
+            for item in items.near(p, n) | longer:
                 s = items.similarity(bag, item)
                 if s >= THRESHOLD and s > best.get((doc, item), (0,))[0]:
                     best[doc, item] = (s, start - int(words.first[doc]), n, (p ^ items.prints[item]).bit_count())

@@ -82,3 +82,25 @@ def test_query(spark, sf):
     bench = {r["item_id"]: " ".join((r["text"] or "").lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     found = {(r["doc_id"], r["item_id"]) for r in d.op9_decontamination(spark, sf).collect()}
     assert {(i, j) for i, t in texts.items() for j, b in bench.items() if b in t} <= found and found
+
+
+def test_whole_documents_shorter_than_the_item(spark):
+    items = d.Items(list(range(7)), [x or "" for x in ITEMS])
+    w = [x.split() for x in ITEMS[:3]]
+    docs = [" ".join(x) for x in (w[1][:-1], w[2][1:], w[0][:-2], w[1][:30], w[1][:24], w[2][3:20] + w[2][21:], w[1][:39] + ["zzzzz"], w[1][:4], w[0][:1])]
+
+    def short(text):
+        at = d.Words(pa.array([text])).hash
+        whole = {i: items.similarity(items.bag(d._shingles(at, min(d.SHINGLE, n))), i) for i, n in enumerate(items.length.tolist()) if n > len(at)}
+        return {i: round(s, 9) for i, s in whole.items() if s >= d.THRESHOLD}
+
+    got = {}
+    for row, item, similarity, first, n, _ in d.leaks(pa.array(docs, pa.string()), items):
+        got.setdefault(row, {})[item] = round(similarity, 9)
+        assert (first, n) == (0, len(docs[row].split()))
+    for i, text in enumerate(docs):
+        assert got.get(i, {}) == brute(text, items) | short(text), text
+    assert got[0][1] > 0.98 and got[1][2] > 0.98 and 4 not in got
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
+    assert {r["doc_id"] for r in d.drop_leaks(table, bench).collect()} == set(range(len(docs))) - set(got)
