@@ -32,7 +32,7 @@ def test_against_plain_stages(spark, sf):
     component = brute(docs, 5)
     docs = [d for d in docs if component[d[0]] == d[0]]
     bench = sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
-    items = decontamination.Items([i for i, _ in bench], [t for _, t in bench])
+    items = decontamination.items_of([i for i, _ in bench], [t for _, t in bench])
     leaked = {row for row, *_ in decontamination.leaks(pa.array([t for _, t in docs]), items)}
     docs = [d for k, d in enumerate(docs) if k not in leaked]
     ids = bpe.ChunkEncoder().library([plain_redaction(t) for _, t in docs])
