@@ -16,8 +16,11 @@ components it joins, not its pairs. So every pair that shares a key is decided,
 Sets travel only for pairs to confirm. Joins on classes and keys are plain equi-joins (skewed keys are split at run time), counts and
 minima combine before the shuffle, and every intermediate table is written to the shared folder.
 
-Defined results: null and empty texts have n_shingles 0 and are a component of their own; rows with the same doc_id are one node; a row
-without a doc_id has a null component and is kept; an empty table gives no rows; other columns are ignored.
+Classes are known by their set, never by a doc_id, so an id that stands on several texts is compared by each of them.
+
+Defined results: null and empty texts have n_shingles 0 and are a component of their own; rows with the same doc_id are one node, linked
+by all its texts; a row without a doc_id has a null component and is kept; a very long text is worked on alone, as a whole; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -89,14 +92,14 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return keys
 
 
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SIGNED = "doc_id long, hash long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _sign(k: int):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            texts, ids = batch.column(names.index("text")), batch.column(names.index("doc_id"))
+            texts, ids, hashes = (batch.column(names.index(c)) for c in ("text", "doc_id", "hash"))
             for lo, hi in slices(texts):
                 m = hi - lo
                 doc, h = shingle_sets(texts.slice(lo, m), k)
@@ -110,7 +113,7 @@ def _sign(k: int):
                     d.append(pa.array(s.view(np.int64)))
                 keys = band_keys(sketches(m, doc, h)).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, m * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, m), pa.array(n), *d, bands], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, m), hashes.slice(lo, m), pa.array(n), *d, bands], names=["doc_id", "hash", "n_shingles", "d1", "d2", "bands"])
 
     return run
 
@@ -146,28 +149,37 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.stage(docs.mapInArrow(_sign(shingle), SIGNED), "signed")
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
+    return common.stage(rows.mapInArrow(_sign(shingle), SIGNED), "signed")
+
+
+def _grouped(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, found): a row for each distinct set (d1, d2, cid, rep, hash), and cid -> component, the least cid linked with it.
+
+    A class is known by its set alone, so ids that stand on several texts do no harm; rep and hash name its least document and that
+    document's text.
+    """
     real = signed.where("doc_id is not null and n_shingles > 0")
-    # one class for each set: its least document stands for it; the copies' keys are merged before the shuffle
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = common.stage(classes, "classes")
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    star = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
+    # one class for each set: the copies' keys are merged before the shuffle
+    first = F.min(F.struct("doc_id", "hash")).alias("first")
+    classes = real.groupBy("d1", "d2").agg(first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.select("d1", "d2", F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("hash"), "n", "bands")
+    classes = common.stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    members = classes.select("cid", "n", F.explode("bands").alias("key"))
+    star = members.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     live = common.stage(members.join(star, "key"), "members")  # keys that more than one class has
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    pairs = live.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("m")).where(f"a <> b and {fits}").select("a", "b").distinct()
+    pairs = live.select(F.col("cid").alias("a"), F.col("hub.cid").alias("b"), "n", F.col("hub.n").alias("m")).where(f"a <> b and {fits}").select("a", "b").distinct()
     pairs = common.stage(pairs, "pairs")
     texts = _texts(docs, classes, live)
     links = common.stage(_confirmed(pairs, texts, shingle, percent), "links")
     found = common.components(links)
     # keys that are not settled: their classes lie in different components
-    placed = live.select("rep", "n", "key").join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "key", F.coalesce("component", "rep").alias("c"))
-    unsettled = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "rep").alias("hub"), F.count("*").alias("size")).where("lo < hi")
+    placed = live.select("cid", "n", "key").join(found, F.col("cid") == F.col("node"), "left").select("cid", "n", "key", F.coalesce("component", "cid").alias("c"))
+    unsettled = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "cid").alias("hub"), F.count("*").alias("size")).where("lo < hi")
     left = common.stage(placed.join(unsettled.select("key", "hub", "size"), "key"), "unsettled")
-    few = left.where(F.col("size") <= FEW).select("key", F.col("rep").alias("a"), "n", "c")
+    few = left.where(F.col("size") <= FEW).select("key", F.col("cid").alias("a"), "n", "c")
     other = few.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
     rest = few.join(other, "key").where(f"a < b and c <> cb and {fits}").select("a", "b").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -175,38 +187,64 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     more = common.stage(_confirmed(rest, texts, shingle, percent), "links")
     more = more.unionByName(common.stage(_by_blocks(left.where(F.col("size") > FEW), texts, shingle, percent), "links"))
     found = common.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    placed = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(placed, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("c"))).otherwise(F.col("doc_id"))
+    return classes.drop("bands", "n"), found
+
+
+def _component_of(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes with c, their component."""
+    return classes.join(found, F.col("cid") == F.col("node"), "left").drop("node").withColumn("c", F.coalesce("component", "cid")).drop("component")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text). Rows of one doc_id are one node, with the links of all its texts."""
+    signed = _signed(docs, shingle)
+    classes, found = _grouped(docs, signed, shingle, percent)
+    classes = common.stage(_component_of(classes, found), "placed")
+    narrow = signed.select("doc_id", "n_shingles", "d1", "d2")
+    of = common.stage(narrow.join(classes.select("d1", "d2", "c"), ["d1", "d2"], "left").select("doc_id", "n_shingles", "c"), "rows")
+    # an id on texts of several components joins them
+    joins = of.where("doc_id is not null and c is not null").groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    joins = common.stage(joins.select("doc_id", "lo"), "joins")
+    label = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
+    if not joins.isEmpty():
+        bridges = of.where("c is not null").join(joins, "doc_id").select(F.col("lo").alias("a"), F.col("c").alias("b")).where("a <> b").distinct()
+        joined = common.components(bridges)
+        label = label.join(joined, F.col("c") == F.col("node"), "left").withColumn("g", F.coalesce("component", "c")).select("c", "g", "component_id")
+        label = label.join(label.groupBy("g").agg(F.min("component_id").alias("least")), "g").select("c", F.col("least").alias("component_id"))
+    # most components are one class: only the labels that differ from the row's own id travel
+    out = of.join(common.stage(label, "labels"), "c", "left")
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
-    """(rep, text) of the classes that share a key with another."""
-    ids = common.stage(live.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    """(cid, text) of the classes that share a key with another: the text of the class's least document, told from the id's other texts by its hash."""
+    ids = live.select("cid").distinct().join(classes.select("cid", "rep", F.col("hash").alias("of")), "cid")
+    ids = common.stage(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return common.stage(docs.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text")), "texts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep").where(F.xxhash64("text") == F.col("of"))
+    return common.stage(rows.groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    a = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
 def _by_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links across components in keys with many classes; members: rep, n, key, c, hub (the component of the key's least class), size.
+    """Links across components in keys with many classes; members: cid, n, key, c, hub (the component of the key's least class), size.
 
     A group (key, i, j) is block i of the classes outside the hub's component against block j of all classes.
     """
     spark = members.sparkSession
     outside = members.where("c <> hub").groupBy("key").agg(F.count("*").alias("strays"))
     rows = members.join(outside, "key").withColumn("bs", F.ceil(F.col("strays") / BLOCK).cast("int")).withColumn("ba", F.ceil(F.col("size") / BLOCK).cast("int"))
-    h = F.xxhash64("rep", F.lit(3))
-    stray = rows.where("c <> hub").select("key", F.pmod(h, F.col("bs")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "c")
-    every = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("i"), F.pmod(h, F.col("ba")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "c")
-    grouped = stray.unionByName(every).join(texts, "rep").select("key", "i", "j", "side", "rep", "c", "text")
+    h = F.xxhash64("cid", F.lit(3))
+    stray = rows.where("c <> hub").select("key", F.pmod(h, F.col("bs")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("j"), F.lit(0).alias("side"), "cid", "c")
+    every = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("i"), F.pmod(h, F.col("ba")).cast("int").alias("j"), F.lit(1).alias("side"), "cid", "c")
+    grouped = stray.unionByName(every).join(texts, "cid").select("key", "i", "j", "side", "cid", "c", "text")
     grouped = grouped.repartition(common.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.mapInArrow(_compare_blocks(shingle, percent), "a long, b long").distinct()
 
@@ -300,12 +338,25 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs, with all columns, with one row of each group: of the least document. Rows without a doc_id stay."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    left = docs.join(common.stage(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    """docs, with all columns, with one row of each group of near duplicates: of its least document.
+
+    Here rows are grouped by their texts alone: rows of one doc_id whose texts are unlike both stay. Rows without a doc_id or without words stay.
+    """
+    signed = _signed(docs, shingle)
+    classes, found = _grouped(docs, signed, shingle, percent)
+    placed = _component_of(classes, found)
+    kept = placed.groupBy("c").agg(F.min(F.struct("rep", "hash")).alias("first")).select(F.col("first.rep").alias("__kept_id"), F.col("first.hash").alias("__kept_hash"))
+    # the rows that go, as most stay: documents with words that are not their component's first
+    real = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "hash")
+    real = real.groupBy("doc_id", "hash").agg(F.count("*").alias("times"))
+    out = real.join(common.stage(kept, "kept"), (F.col("doc_id") == F.col("__kept_id")) & (F.col("hash") == F.col("__kept_hash")), "left")
+    out = common.stage(out.select("doc_id", "hash", "times", F.col("__kept_id").isNotNull().alias("stays")), "decided")
+    here = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    gone = out.where("not stays").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, here, "left_anti")
+    repeated = out.where("stays and times > 1").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
     if repeated.isEmpty():
         return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
-
-
+    once = left.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, here, "left_anti").unionByName(once)

@@ -81,6 +81,32 @@ def test_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_one_id_on_several_texts(spark, order):
+    word = random.Random(4)
+    base = [["".join(word.choice("abcdefgh") for _ in range(4)) for _ in range(60)] for _ in range(4)]
+    near = lambda w, n: " ".join([*w[:n], "zzzz", *w[n + 1 :]])
+    a, b, c, x = (" ".join(w) for w in base)
+    rows = [(1, a), (1, b), (2, near(base[0], 9)), (3, near(base[1], 30)), (5, x), (5, c), (9, near(base[2], 3)), (4, near(base[3], 50)), (1, a), (8, ""), (8, c)][::order]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    got = minhash.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] == (want[r["doc_id"]] if r["n_shingles"] else r["doc_id"]) for r in got)
+    assert want[2] == want[3] == 1 and want[9] == want[4] == want[8] == 4
+    left = sorted(map(tuple, minhash.drop_near_duplicates(df).collect()))
+    # by texts alone: a (with 2) under id 1, b (with 3) under id 1, x (with 4) under id 4, c (with 5, 8, 9) under id 5; the row without words
+    assert left == sorted([(1, a), (1, b), (4, near(base[3], 50)), (5, c), (8, "")])
+
+
+def test_texts_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    rows = corpus(7, 60)
+    want = brute(rows, 5)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got)
+
+
 def test_sketch_fills_and_estimates():
     rng = random.Random(9)
     doc, hashes = [], []
@@ -117,3 +143,5 @@ def test_dropping_keeps_one_of_each_group(spark):
     left = minhash.drop_near_duplicates(df)
     assert left.columns == df.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, c in want.items() if i == c)
+    extra = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, None)], "doc_id long, text string")
+    assert minhash.drop_near_duplicates(extra).count() == 4
