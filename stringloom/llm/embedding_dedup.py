@@ -1,19 +1,27 @@
 """Operator 7: embedding near-dedup by a forest of random-projection trees.
 
-Vectors of one label are compared. Each of TREES trees splits unit vectors along random directions, at the median of a bounded sample
-(SAMPLE rows, by hash of the vector; the trees are fitted on it, every row is indexed). A vector within SPILL of a split goes to both
-sides, so that near pairs rarely part. Within a leaf (and label) vectors are compared in blocks of BLOCK rows with BLOCK rows in double
-precision, so a large leaf is many tasks' work and never one. Pairs of several leaves or trees count once.
+Vectors of one label are compared. Each of TREES trees splits unit vectors along random directions, at the median of a bounded sample.
+A vector within SPILL of a split goes to both sides, so that near pairs rarely part. Trees are grown level by level on the cluster: the
+first on SAMPLE rows (or SAMPLE_BYTES), then one for each leaf that holds more than REFIT rows, on a sample of that leaf's rows, until
+no leaf is larger or its rows are too dense to part. Every row is indexed; a tree is thresholds and seeds of directions, so it is small
+whatever the dimension, and only the first level's, of bounded number, are sent to all workers; the others are joined by leaf.
 
-Equal vectors of a label are one class; a class of m vectors has m - 1 links inside, and each link to another class counts with that
-class's size. A pair is found if some leaf of some tree holds both; at cosine >= 0.98 recall is measured in the tests (at least 0.9 asked).
+Within a leaf (and label) vectors are compared in blocks of BLOCK rows with BLOCK rows in double precision, so a large leaf is many
+tasks' work and never one. A pair of several leaves is counted in the first of its common leaves alone, which is read off the rows' own
+lists of leaves. A pair of blocks gives a count of links for each row and a forest of the components it joins, never its pairs.
+
+Equal vectors of a label are one class, known by the vector itself; a class of m vectors has m - 1 links inside, and each link to
+another class counts with that class's size. A pair is found if some leaf of some tree holds both; at cosine >= 0.98 recall is measured
+in the tests (at least 0.9 asked).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing;
-rows with the same vec_id are one node and are not each other's link; a row without vec_id has a null component and is kept; vectors of
-different lengths are never compared; an empty table gives no rows; other columns are ignored.
+rows with the same vec_id are one node, with the links of all its vectors, and are not each other's link; a row without vec_id has a null
+component and is kept; vectors of different lengths are never compared; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +30,8 @@ from pyspark.sql import functions as F
 from stringloom.llm import common
 
 COSINE, TREES, SAMPLE, LEAF, SPILL, BLOCK, SEED = 0.98, 4, 50_000, 256, 0.035, 512, 11
-#: Sample rows that a leaf keeps at least: beyond SAMPLE * LEAF / LEAST_LEAF rows the leaves grow, and are compared in more blocks.
-LEAST_LEAF = 8
+#: Bytes of vectors that the first trees are grown on; a leaf of more than REFIT rows is split again, on REFIT_SAMPLE of them.
+SAMPLE_BYTES, REFIT, REFIT_SAMPLE, LEVELS = 64_000_000, 4_096, 4_096, 6
 
 
 def unit(lists: list) -> list:
@@ -44,32 +52,31 @@ def unit(lists: list) -> list:
 
 
 class Tree:
-    """Nodes of a tree in arrays: direction, threshold, children (negative: leaf)."""
+    """Nodes of a tree in arrays: seed of the direction, threshold, children (negative: leaf)."""
 
     def __init__(self, sample: np.ndarray, seed: int, leaf: int = LEAF):
-        self.leaf = leaf
-        rng = np.random.default_rng(seed)
-        self.direction: list[np.ndarray] = []
+        self.leaf, self.seed, self.dim = leaf, seed, sample.shape[1]
         self.at: list[float] = []
         self.child: list[list[int]] = []
         self.leaves = 0
-        self.root = self._grow(sample, np.arange(len(sample)), rng, 0)
+        self.root = self._grow(sample, np.arange(len(sample)), 0)
 
-    def _grow(self, x, rows, rng, depth) -> int:
+    def direction(self, node: int) -> np.ndarray:
+        x = np.random.default_rng((self.seed, node)).normal(size=self.dim)
+        return x / np.linalg.norm(x)
+
+    def _grow(self, x, rows, depth) -> int:
         if len(rows) <= self.leaf or depth > 40:
             return self._leaf()
-        direction = rng.normal(size=x.shape[1])
-        direction /= np.linalg.norm(direction)
-        p = x[rows] @ direction
+        node = len(self.at)
+        p = x[rows] @ self.direction(node)
         at = float(np.median(p))
         left, right = rows[p <= at + SPILL], rows[p > at - SPILL]
         if max(len(left), len(right)) > 0.95 * len(rows):  # so dense that the spill takes nearly all along: blocks do the rest
             return self._leaf()
-        node = len(self.at)
-        self.direction.append(direction)
         self.at.append(at)
         self.child.append([0, 0])
-        self.child[node] = [self._grow(x, left, rng, depth + 1), self._grow(x, right, rng, depth + 1)]
+        self.child[node] = [self._grow(x, left, depth + 1), self._grow(x, right, depth + 1)]
         return node
 
     def _leaf(self) -> int:
@@ -87,7 +94,7 @@ class Tree:
                 rows.append(at)
                 leaves.append(np.full(len(at), -node, np.int64))
                 continue
-            p = x[at] @ self.direction[node]
+            p = x[at] @ self.direction(node)
             todo.append((self.child[node][0], at[p <= self.at[node] + SPILL]))
             todo.append((self.child[node][1], at[p > self.at[node] - SPILL]))
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -104,60 +111,175 @@ def _prepare():
     return run
 
 
-def _index(forest: dict[int, list[Tree]]):
+def _matrix(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+
+
+def _new_leaf(above: int, tree: int, leaf: np.ndarray) -> np.ndarray:
+    """The number of a leaf of a tree that parts the leaf `above`: a hash, so that levels need no common counter."""
+    from stringloom.llm.words import mix
+
+    return mix(mix(np.full(len(leaf), above, np.int64).view(np.uint64) ^ np.uint64(tree + 1)) + leaf.astype(np.uint64)).view(np.int64)
+
+
+def _grown(seed: int):
+    """Rows (leaf, trees, rows, v) of a sample, sorted by leaf, to one row a leaf: its trees."""
+
+    def grow(leaf, trees, n, data):
+        x = _matrix(sorted(data))
+        least = max(8, min(LEAF, LEAF * len(x) // max(1, n)))
+        made = [Tree(x, (seed * 1000 + t) ^ (leaf & 0xFFFFFFFF), least) for t in range(trees)]
+        return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps(made)], pa.binary())], names=["leaf", "trees"])
+
     def run(batches):
+        now, held = None, []
         for batch in batches:
-            reps, labels, data = (batch.column(i) for i in range(3))
-            size = np.array([len(d) for d in data.to_pylist()])
-            raw = data.to_pylist()
-            for dim in np.unique(size):
-                at = np.flatnonzero(size == dim)
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-                for t, tree in enumerate(forest.get(int(dim) // 8, [None])):
-                    rows, leaves = tree.leaves_of(x) if tree is not None else (np.arange(len(x)), np.zeros(len(x), np.int64))
-                    take = pa.array(at[rows])
-                    key = (np.int64(dim) << 40) | (np.int64(t) << 32) | leaves
-                    yield pa.RecordBatch.from_arrays([reps.take(take), labels.take(take), pa.array(key)], names=["rep", "label", "leaf"])
+            for leaf, trees, n, v in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if now is not None and now[0] != leaf:
+                    yield grow(*now, held)
+                    held = []
+                now = (leaf, trees, n)
+                held.append(v)
+        if now is not None:
+            yield grow(*now, held)
 
     return run
 
 
+def _place(known: dict[int, bytes] | None):
+    """Rows (cid, leaf, v, trees or null) to (cid, leaf) below; known: the trees by leaf, if they are not in the rows."""
+
+    def run(batches):
+        opened: dict[int, list[Tree]] = {}
+        for batch in batches:
+            cids, leaves = batch.column(0), batch.column(1).to_numpy()
+            data = batch.column(2).to_pylist()
+            for leaf in np.unique(leaves).tolist():
+                at = np.flatnonzero(leaves == leaf)
+                if leaf not in opened:
+                    if len(opened) > 64:
+                        opened.clear()
+                    opened[leaf] = pickle.loads(known[leaf] if known is not None else batch.column(3)[int(at[0])].as_py())
+                x = _matrix([data[i] for i in at])
+                for t, tree in enumerate(opened[leaf]):
+                    rows, below = tree.leaves_of(x)
+                    yield pa.RecordBatch.from_arrays([cids.take(pa.array(at[rows])), pa.array(_new_leaf(leaf, t, below))], names=["cid", "leaf"])
+
+    return run
+
+
+def _leaves(classes: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(cid, leaf) for every leaf of every tree that a class reaches; classes: cid, v."""
+    spark = classes.sparkSession
+    # a leaf to begin with for each dimension
+    rows = classes.select("cid", F.octet_length("v").cast("long").alias("leaf"), "v")
+    sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1_000).collect()}
+    if not sizes:
+        return classes.select("cid", F.lit(0).cast("long").alias("leaf"))
+    firsts = spark.createDataFrame([(leaf, n, min(SAMPLE, max(1_000, SAMPLE_BYTES // leaf))) for leaf, n in sizes.items()], "leaf long, n long, most long")
+    chosen = rows.join(F.broadcast(firsts), "leaf").where(F.pmod(F.xxhash64("v", F.lit(seed)), F.col("n")) < F.col("most"))
+    chosen = chosen.select("leaf", F.lit(trees).alias("trees"), "n", "v").repartition(min(len(sizes), common.partitions(spark)), "leaf").sortWithinPartitions("leaf")
+    first = {r["leaf"]: bytes(r["trees"]) for r in chosen.mapInArrow(_grown(seed), "leaf long, trees binary").toLocalIterator()}
+    rest = rows.where(~F.col("leaf").isin(list(first)))  # dimensions beyond the thousand most frequent: one leaf each
+    placed = rows.where(F.col("leaf").isin(list(first))).select("cid", "leaf", "v").mapInArrow(_place(first), "cid long, leaf long")
+    done = common.stage(placed.unionByName(rest.select("cid", "leaf")), "leaves")
+    out, before = None, None
+    for level in range(LEVELS):
+        big = common.stage(done.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > REFIT), "large-leaves")
+        found = big.agg(F.count("*").alias("k"), F.max("n").alias("top")).first()
+        if not found["k"] or (found["k"], found["top"]) == before:
+            break
+        before = found["k"], found["top"]
+        rows = done.join(big, "leaf").join(classes.select("cid", "v"), "cid")
+        part = rows.where(F.pmod(F.xxhash64("v", F.lit(seed + level + 1)), F.col("n")) < REFIT_SAMPLE)
+        part = part.select("leaf", F.lit(1).alias("trees"), "n", "v").repartition(common.partitions(spark), "leaf").sortWithinPartitions("leaf")
+        grown = common.stage(part.mapInArrow(_grown(seed + level + 1), "leaf long, trees binary"), "trees")
+        below = rows.select("cid", "leaf", "v").join(grown, "leaf").select("cid", "leaf", "v", "trees").mapInArrow(_place(None), "cid long, leaf long")
+        small = done.join(big.select("leaf"), "leaf", "left_anti")
+        out = small if out is None else out.unionByName(small)
+        done = common.stage(below, "leaves")
+    return done if out is None else out.unionByName(done)
+
+
+def _spans(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the components that a table of links joins: (row, column) of one link for each join."""
+    n, m = linked.shape
+    label = np.arange(n + m)
+    out = []
+    for r in np.flatnonzero(linked.any(axis=1)).tolist():
+        columns = np.flatnonzero(linked[r])
+        there = label[n + columns]
+        new = there != label[r]
+        if not new.any():
+            continue
+        names, first = np.unique(there[new], return_index=True)
+        out += [(r, int(c)) for c in columns[new][first]]
+        label[np.isin(label, names)] = label[r]
+    return out
+
+
 def _compare(cosine: float):
-    """Rows sorted by group (label, leaf, i, j) to the pairs of classes at the threshold; a group is block i of a leaf against block j."""
-
-    def pairs(key, group):
-        rep, side, v = group
-        x, y = (np.frombuffer(b"".join(v[k] for k in np.flatnonzero(side == s)), np.float64).reshape(-1, key[1] >> 43) for s in (0, 1 if key[2] != key[3] else 0))
-        i, j = np.nonzero(x @ y.T >= cosine)
-        ra, rb = rep[side == 0], rep[side == (1 if key[2] != key[3] else 0)]
-        a, b = ra[i], rb[j]
-        keep = a < b if key[2] == key[3] else a != b
-        a, b = a[keep], b[keep]
-        return np.minimum(a, b), np.maximum(a, b)
+    """Rows sorted by group (label, leaf, i, j) to counts and links; a group is block i of a leaf against block j.
+
+    A row (a, null, n): class a has links to n vectors here that no earlier leaf of both counts. A row (a, b, null) is a link of the
+    group's forest. A row (a, b, 0) is a link, to be counted, of which a class holds a vec_id that stands on several vectors.
+    """
+
+    def group(key, cid, side, size, marked, v, leaves):
+        same = key[2] == key[3]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+        if not len(left) or not len(right):
+            return
+        linked = _matrix([v[k] for k in left]) @ _matrix([v[k] for k in right]).T >= cosine
+        linked &= cid[left][:, None] != cid[right][None]
+        if not linked.any():
+            return
+        forest = _spans(linked)
+        # earlier leaves that both have: a product of the rows' leaves as tables
+        earlier = [np.array([x for x in leaves[k] if x < key[1]], np.int64) for k in range(len(cid))]
+        names = np.unique(np.concatenate(earlier))
+        if len(names):
+            table = np.zeros((len(cid), len(names)), np.float32)
+            for k, x in enumerate(earlier):
+                table[k, np.searchsorted(names, x)] = 1
+            linked &= table[left] @ table[right].T == 0
+        out_a, out_b, out_n = [cid[left[r]] for r, _ in forest], [cid[right[c]] for _, c in forest], [None] * len(forest)
+        i, j = np.nonzero(linked & (marked[left][:, None] | marked[right][None]))
+        for a, b in zip(cid[left[i]].tolist(), cid[right[j]].tolist()):
+            out_a += [a] if same else [a, b]
+            out_b += [b] if same else [b, a]
+            out_n += [0] if same else [0, 0]
+        counts = [(left, linked @ size[right])] + ([] if same else [(right, size[left] @ linked)])
+        for who, n in counts:
+            some = np.flatnonzero(n)
+            out_a += cid[who[some]].tolist()
+            out_b += [None] * len(some)
+            out_n += n[some].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b, out_n)], names=["a", "b", "n"])
 
     def run(batches):
         held, key = [], None
 
         def flush():
-            rep, side = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            a, b = pairs(key, (rep, side, [v for h in held for v in h[2]]))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            cid, side, size, marked = (np.concatenate([h[i] for h in held]) for i in range(4))
+            yield from group(key, cid, side, size, marked, [v for h in held for v in h[4]], [x for h in held for x in h[5]])
 
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], 1)
             if not len(keys):
                 continue
-            rep, side, v = batch.column(4).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).to_pylist()
+            cid, side, size, marked = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6, 7))
+            v, leaves = batch.column(8).to_pylist(), batch.column(9).to_pylist()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 here = tuple(keys[lo].tolist())
                 if here != key and held:
-                    yield flush()
+                    yield from flush()
                     held = []
                 key = here
-                held.append((rep[lo:hi], side[lo:hi], v[lo:hi]))
+                held.append((cid[lo:hi], side[lo:hi], size[lo:hi], marked[lo:hi], v[lo:hi], leaves[lo:hi]))
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -167,39 +289,74 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     rows = common.stage(rows.mapInArrow(_prepare(), "vec_id long, label long, v binary"), "vectors")
-    real = rows.where("v is not null and label is not null and vec_id is not null")
-    # distinct ids only: a class's size counts vectors, and one id is one vector
-    classes = real.dropDuplicates(["vec_id", "label", "v"]).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    classes = common.stage(classes, "vector-classes")
-    n = classes.count()
-    chosen = classes.select("v") if n <= SAMPLE else classes.select("v").where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(n)) < SAMPLE).limit(2 * SAMPLE)
-    by_dim: dict[int, list[bytes]] = {}
-    for v in chosen.toPandas()["v"]:
-        by_dim.setdefault(len(v) // 8, []).append(v)
-    leaf = max(LEAST_LEAF, min(LEAF, LEAF * SAMPLE // max(1, n)))
-    forest = {d: [Tree(np.frombuffer(b"".join(sorted(vs)), np.float64).reshape(len(vs), -1), seed * 1000 + t, leaf) for t in range(trees)] for d, vs in by_dim.items()}
-    leaves = common.stage(classes.select("rep", "label", "v").mapInArrow(_index(forest), "rep long, label long, leaf long"), "leaves")
+    real = rows.where("v is not null and label is not null and vec_id is not null").dropDuplicates(["vec_id", "label", "v"])
+    # ids that stand on several vectors are counted by themselves: a class's size is that of its other ids
+    several = common.stage(real.groupBy("vec_id").agg(F.count("*").alias("k")).where("k > 1").select("vec_id"), "several")
+    any_several = not several.isEmpty()
+    if any_several:
+        real = real.join(several.withColumn("many", F.lit(True)), "vec_id", "left")
+    many = F.coalesce("many", F.lit(False)) if any_several else F.lit(False)
+    real = real.withColumn("many", many)
+    classes = real.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.sum((~F.col("many")).cast("long")).alias("size"), F.max("many").alias("marked"))
+    classes = common.stage(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    leaves = common.stage(_leaves(classes, trees, seed), "leaves")
     # blocks of a leaf: as many as its rows ask for; a row's block is a hash, so no leaf is sorted or gathered
-    sizes = leaves.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = leaves.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select("rep", "label", "v"), ["rep", "label"]).select("rep", "label", "leaf", "blocks", "block", "v")
+    rows_of = leaves.join(classes.select("cid", "label", "size", "marked"), "cid")
+    sizes = rows_of.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = rows_of.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("blocks")).cast("int"))
+    lists = leaves.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # of one row: bounded by trees and spill
+    data = lists.join(classes.select("cid", "v"), "cid")
+    placed = placed.join(data, "cid").select("cid", "label", "leaf", "blocks", "block", "size", "marked", "v", "leaves")
     placed = common.stage(placed, "placed")
     # each pair of blocks (i <= j) is a group of its own: rows of block i on one side, of block j on the other
-    left = placed.select("label", "leaf", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), "rep", F.lit(0).alias("side"), "v")
-    right = placed.where("block > 0").select("label", "leaf", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "rep", F.lit(1).alias("side"), "v")
+    rest = ["cid", "side", "size", "marked", "v", "leaves"]
+    left = placed.withColumn("side", F.lit(0)).select("label", "leaf", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *rest)
+    right = placed.where("block > 0").withColumn("side", F.lit(1)).select("label", "leaf", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), *rest)
     key = ["label", "leaf", "i", "j"]
     grouped = left.unionByName(right).repartition(common.partitions(spark), *key).sortWithinPartitions(*key)
-    pairs = grouped.mapInArrow(_compare(cosine), "a long, b long")
-    pairs = common.stage(pairs.distinct(), "vector-links")
-    found = common.components(pairs)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = classes.select(F.col("rep").alias("b"), "size")
-    other = both.join(size, "b").groupBy("a").agg(F.sum("size").alias("outside"))
-    counted = classes.join(other, classes["rep"] == other["a"], "left").select("label", "v", (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), "rep")
-    counted = counted.join(found, F.col("rep") == F.col("node"), "left").select("label", "v", "n_links", F.coalesce("component", "rep").alias("c"))
-    out = rows.join(counted, ["label", "v"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    found = common.stage(grouped.mapInArrow(_compare(cosine), "a long, b long, n long"), "vector-links")
+    joined = common.components(found.where("b is not null").select("a", "b"))
+    outside = found.where("b is null").groupBy("a").agg(F.sum("n").alias("outside"))
+    classes = classes.select("label", "v", "cid", "rep", "size").join(outside, F.col("cid") == F.col("a"), "left").drop("a")
+    classes = classes.join(joined, F.col("cid") == F.col("node"), "left").drop("node").withColumn("c", F.coalesce("component", "cid")).drop("component")
+    classes = common.stage(classes.withColumn("n", F.col("size") + F.coalesce("outside", F.lit(0))).drop("outside", "size"), "counted")
+    label = classes.groupBy("c").agg(F.min("rep").alias("least"))
+    out = rows.join(classes.select("label", "v", "cid", "c", "n"), ["label", "v"], "left").drop("label", "v")
+    if any_several:
+        out, label = _with_several(out, label, real, several, found, classes, rows)
+    else:
+        out = out.withColumn("n_links", F.col("n") - 1)
+    out = out.join(label, "c", "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("least", "vec_id"))
+    return out.select("vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    )
+
+
+def _with_several(out: DataFrame, label: DataFrame, real: DataFrame, several: DataFrame, found: DataFrame, classes: DataFrame, rows: DataFrame):
+    """Counts and components where ids stand on several vectors: such an id counts once for whoever is linked with any of its vectors."""
+    holds = real.where("many").join(classes.select("label", "v", "cid", "c"), ["label", "v"]).select("vec_id", "cid", "c")
+    holds = common.stage(holds, "several-classes")
+    own = holds.select("cid").distinct()
+    near = found.where("b is not null and n is not null").select("a", "b")  # links of marked classes, both ways
+    near = common.stage(near.unionByName(own.select(F.col("cid").alias("a"), F.col("cid").alias("b"))).distinct(), "several-links")
+    # for a class: the ids of the kind that it or its neighbours hold
+    seen = near.join(holds.select(F.col("cid").alias("b"), "vec_id"), "b").groupBy("a").agg(F.countDistinct("vec_id").alias("ids"))
+    out = out.join(seen, F.col("cid") == F.col("a"), "left").drop("a")
+    # for an id: the classes of its closed neighbourhood, each once
+    size = real.where("not many").join(classes.select("label", "v", "cid"), ["label", "v"]).groupBy("cid").agg(F.count("*").alias("size"))
+    around = holds.select(F.col("cid").alias("a"), F.col("vec_id").alias("id")).join(near, "a").select("id", "b").distinct()
+    ones = around.join(size, F.col("b") == F.col("cid"), "left").groupBy("id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("ones"))
+    others = around.join(holds.select(F.col("cid").alias("b"), "vec_id"), "b").groupBy("id").agg(F.countDistinct("vec_id").alias("others"))
+    totals = ones.join(others, "id").select("id", (F.col("ones") + F.col("others") - 1).alias("total"))
+    out = out.join(totals, F.col("vec_id") == F.col("id"), "left").drop("id")
+    # a copy of such an id that links with nothing keeps the id's count, too
+    out = out.withColumn("n_links", F.coalesce("total", F.col("n") + F.coalesce("ids", F.lit(0)) - 1)).drop("total", "ids")
+    lo = holds.groupBy("vec_id").agg(F.min("c").alias("lo"))
+    joined = common.components(holds.join(lo, "vec_id").select(F.col("lo").alias("a"), F.col("c").alias("b")).where("a <> b").distinct())
+    label = label.join(joined, F.col("c") == F.col("node"), "left").withColumn("g", F.coalesce("component", "c")).select("c", "g", "least")
+    label = label.join(label.groupBy("g").agg(F.min("least").alias("l")), "g").select("c", F.col("l").alias("least"))
+    return out, label
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
