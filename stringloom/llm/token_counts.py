@@ -4,8 +4,11 @@ The normalised content (white space collapsed, ends trimmed: the tokenizer drops
 digest. Their pair is joined to the cache table; only distinct contents that the cache lacks are encoded, and their counts are
 appended. The texts travel once, to the place where equal digests meet, and equal ones are merged before the shuffle.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows and repeated ids give a row each; an empty table gives
-no rows; other columns are ignored.
+Runs may share a cache at the same time: a digest that two of them append counts once. Appends are whole files, so a run that fails leaves
+nothing half-written to be read.
+
+Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows and repeated ids give a row each; a very long text is
+encoded alone and whole; an empty table gives no rows; other columns are kept.
 """
 from __future__ import annotations
 
@@ -106,8 +109,7 @@ def token_counts(docs: DataFrame, cache_path: str, text: str = "text", tokenizer
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    cache = f"{common.shared_dir(spark)}/token-cache-{uuid.uuid4().hex[:12]}"
+    """The cache is one table of the shared folder for each version of the tokenizer, which later runs go on with."""
+    cache = f"{common.shared_dir(spark)}/token-cache-{tokenizer_version()[:16]}"
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return token_counts(docs, cache).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))

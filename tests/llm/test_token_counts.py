@@ -36,3 +36,28 @@ def test_query(spark, sf):
     want = dict(zip(texts, library(texts.values())))
     assert len(rows) == len(texts) and all(r["n_tokens"] == want[r["doc_id"]] and r["over_limit"] == (want[r["doc_id"]] > 2048) for r in rows)
     assert shared_dir(spark)
+
+
+def test_a_second_run_meets_the_stored_counts(spark, sf, monkeypatch):
+    first = sorted(map(tuple, t.op3_token_counts(spark, sf).collect()))
+    asked = []
+    real = t._encode
+
+    def counted(path):
+        run = real(path)
+        seen = spark.sparkContext.accumulator(0)
+        asked.append(seen)
+
+        def rows(batches):
+            def tally():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            return run(tally())
+
+        return rows
+
+    monkeypatch.setattr(t, "_encode", counted)
+    assert sorted(map(tuple, t.op3_token_counts(spark, sf).collect())) == first
+    assert sum(a.value for a in asked) == 0
