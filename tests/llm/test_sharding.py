@@ -29,6 +29,29 @@ def test_shards_match_the_mixture(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_no_bucket_grows_with_sources_or_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 64)
+    largest = []
+    real = sharding._ranked
+
+    def ranked(rows, group, bucket, *more):
+        largest.append(rows.withColumn("_b", bucket).groupBy(*group, "_b").count().agg({"count": "max"}).first()[0])
+        return real(rows, group, bucket, *more)
+
+    monkeypatch.setattr(sharding, "_ranked", ranked)
+    for rows in ([(i, 9, i, f"one{i}") for i in range(8000)], [(7, 9, 1, "s")] * 6000 + [(i, 9, i, "s") for i in range(100, 1100)]):
+        got = run(spark, rows)
+        size = Counter(r["shard"] for r in got)
+        assert len(got) == len(rows) and max(size.values()) - min(size.values()) <= 1
+    assert max(largest) <= 3 * 64
+
+
+def test_other_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.selectExpr("doc_id", "n_chars as size", "1L as text_crc32", "source", "1 as _s", "2 as _u")
+    assert sharding.interleave(rows, "source", ["doc_id", "size", "text_crc32"]).count() == docs.count()
+
+
 def test_few_or_no_rows(spark):
     assert run(spark, []) == []
     assert [(r["shard"], r["slot"]) for r in run(spark, [(None, 8, 0, None)])] == [(23, 0)] or len(run(spark, [(None, 8, 0, None)])) == 1
