@@ -10,14 +10,19 @@ shape. A rule fits exactly when its key is one of them, so a page has as many ke
 the same universe, hold the blocking and the allowing keys; the longest listed key of a page decides (of equally long ones, the one with
 the longer host). A page that no rule fits is blocked if its host or a parent domain is in the host list (a third cascade), else allowed.
 
-The bit arrays are sized from the listed keys alone (BITS a key); a list of over MAX_LISTED keys, 16 MB of bits, is refused in favour of
-`membership_by_join`, which joins the distinct keys instead.
+Level 1 lets through at most as many other keys as are listed, and every further level one in 64, so the bits follow the listed keys (and
+the logarithm of the universe's share to them), not the corpus. They travel as one constant for each level. If a level would need more
+than MAX_BITS, the listed keys are joined to the pages' keys instead (`Members.mark` chooses by itself; the answer is the same).
 
-Defined results: a null url, or one without "://", has empty host and path, fits no rule and is allowed; repeated rows give a row each;
-an empty table gives no rows; other columns are ignored.
+Defined results: a null url, or one without "://", has empty host and path, fits no rule and is allowed; repeated rows give a row each; a
+very long url is judged as a whole; an empty table gives no rows; other columns are kept, whatever their names (host, path, rule and
+verdict are replaced).
 """
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,9 @@ from stringloom.llm import common
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Domains blocked where no rule fits.
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
-BITS, HASHES, MAX_LISTED = 12, 4, 10_000_000
+#: False positives of a level after the first, and the most that the first may have; bits of a level that travel as a constant.
+#: (in fewer than LEAST_BITS, places by two hashes would repeat too often).
+RATE, MAX_BITS, LEAST_BITS = 1 / 64, 1 << 25, 1 << 14
 
 
 def _lower(col: Column) -> Column:
@@ -50,13 +57,15 @@ def _key(labels: Column, path: Column, n: int, length: int) -> Column:
     return F.when((F.size(labels) >= n) & (F.length(path) >= length), F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring(path, 1, length)))
 
 
-def _bits(key: Column, level: int, m: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(HASHES * level + i), key), F.lit(m)) for i in range(HASHES)]
+def _bits(key: Column, level: int, m: int, hashes: int) -> list[Column]:
+    """Places by two hashes of 31 bits."""
+    one, step = (F.shiftrightunsigned(F.xxhash64(F.lit(2 * level + i), key), 33) for i in (0, 1))
+    return [F.pmod(one + step * i, F.lit(m)) for i in range(hashes)]
 
 
-def _filter(keys: DataFrame, level: int, m: int) -> list[int]:
+def _filter(keys: DataFrame, level: int, m: int, hashes: int) -> list[int]:
     """The words of a Bloom filter of m bits: bits set by equal words are merged before the shuffle; at most m / 64 words reach the driver."""
-    bit = keys.select(F.explode(F.array(*_bits(F.col("key"), level, m))).alias("bit"))
+    bit = keys.select(F.explode(F.array(*_bits(F.col("key"), level, m, hashes))).alias("bit"))
     words = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
     out = [0] * (-(-m // 64))
     for row in words.toLocalIterator():
@@ -64,83 +73,101 @@ def _filter(keys: DataFrame, level: int, m: int) -> list[int]:
     return out
 
 
-def _in_filter(key: Column, level: int, m: int, words: list[int]) -> Column:
-    table = F.lit(words).cast("array<bigint>")
+def _in_filter(key: Column, level: int, m: int, hashes: int, words: list[int]) -> Column:
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")  # one constant, folded when the plan is made
     hit = F.lit(True)
-    for bit in _bits(key, level, m):
-        hit = hit & _test(table, bit)
+    for bit in _bits(key, level, m, hashes):
+        word = F.get(table, F.floor(bit / F.lit(64)).cast("int"))
+        hit = hit & (F.call_function("getbit", word, F.pmod(bit, F.lit(64)).cast("int")) == 1)
     return hit
 
 
-def _test(table: Column, bit: Column) -> Column:
-    word = F.get(table, F.floor(bit / F.lit(64)).cast("int"))
-    return F.call_function("getbit", word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+def _keys(spark: SparkSession, listed) -> DataFrame:
+    """Distinct listed keys as a table; listed: strings, or a table with the column key."""
+    if isinstance(listed, DataFrame):
+        return listed.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct()
+    if len(listed) <= 100_000:
+        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(sorted(set(listed)))), "array<string>")).alias("key"))
+    return spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
 
 
-class Cascade:
-    """Exact membership of `listed` within `universe` (a DataFrame with the distinct column `key`)."""
+class Members:
+    """Exact membership of `listed` within `universe` (a DataFrame with the distinct column `key`): by a cascade, or by join beyond MAX_BITS."""
 
-    def __init__(self, universe: DataFrame, listed: list[str]):
-        if len(listed) > MAX_LISTED:
-            raise ValueError("the list is too long for constant bit arrays; use membership_by_join")
-        spark = universe.sparkSession
-        self.levels: list[tuple[int, list[int]]] = []
-        inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+    def __init__(self, universe: DataFrame, listed):
+        self.listed = inside = _keys(universe.sparkSession, listed)
+        self.levels: list[tuple[int, int, list[int]]] | None = []
+        n = inside.count()
         # keys that no page has need no answer, so only listed keys of the universe and the others of the universe count
-        others = universe.join(F.broadcast(inside) if len(listed) < 100_000 else inside, "key", "left_anti")
+        others = universe.join(F.broadcast(inside) if n < 100_000 else inside, "key", "left_anti")
+        rate = min(RATE, n / (math.sqrt(2) * max(1, others.count()))) if n else RATE
         level = 0
-        while (n := inside.count()) > 0:
-            m = max(64, BITS * n)
-            words = _filter(inside, level, m)
-            self.levels.append((m, words))
-            false = common.stage(others.where(_in_filter(F.col("key"), level, m, words)), "cascade")
-            others, inside = inside, false
+        while n:
+            hashes = max(1, round(math.log2(1 / rate)))
+            m = max(LEAST_BITS, math.ceil(n * hashes / math.log(2)))
+            if m > MAX_BITS:
+                self.levels = None
+                return
+            words = _filter(inside, level, m, hashes)
+            self.levels.append((m, hashes, words))
+            false = common.stage(others.where(_in_filter(F.col("key"), level, m, hashes, words)), "cascade")
+            others, inside, rate = inside, false, RATE
+            n = inside.count()
             level += 1
             if level > 64:
                 raise RuntimeError("cascade does not end")
 
     def holds(self, key: Column) -> Column:
-        """True for listed keys, false for the others; null for a null key."""
+        """True for listed keys, false for the others; null for a null key. By the cascade."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in range(len(self.levels) - 1, -1, -1):
-            m, words = self.levels[level]
             # leaving at an odd level (from 1) means not listed, at an even one listed
-            out = F.when(_in_filter(key, level, m, words), out).otherwise(F.lit(level % 2 == 1))
+            out = F.when(_in_filter(key, level, *self.levels[level]), out).otherwise(F.lit(level % 2 == 1))
         return F.when(key.isNotNull(), out)
 
-
-def membership_by_join(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """The way for lists beyond MAX_LISTED: keys (distinct) with `listed`."""
-    return keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").fillna(False, ["listed"])
+    def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with the boolean column `name`: whether its column `key` is listed."""
+        if self.levels is not None:
+            return df.withColumn(name, F.coalesce(self.holds(F.col(key)), F.lit(False)))
+        found = self.listed.select(F.col("key").alias("__listed"))
+        return df.join(found, F.col(key) == F.col("__listed"), "left").withColumn(name, F.col("__listed").isNotNull()).drop("__listed")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, listed_hosts=LISTED_HOSTS, url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict."""
     host, path = split_url(F.col(url))
-    out = pages.withColumn("host", host).withColumn("path", path)
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    out = pages.select(*[F.col(f"`{c}`") for c in names], host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
-    by_shape = [_key(labels, F.col("path"), n, length) for n, length in shapes(rules)]
+    rule_shapes = shapes(rules)
     # the host list: one key for each number of labels that it has
     host_shapes = sorted({h.count(".") + 1 for h in listed_hosts}, reverse=True)
-    by_host = [_key(labels, F.lit(""), n, 0) for n in host_shapes]
-
-    def distinct(keys):
-        return common.stage(out.select(F.explode(F.array_compact(F.array(*keys))).alias("key")).distinct(), "keys")
-
-    universe = distinct(by_shape) if by_shape else None
-    keyed = [(v, h + p) for v, h, p in rules]
-    blocking = Cascade(universe, [k for v, k in keyed if v == "block"]) if by_shape else None
-    allowing = Cascade(universe, [k for v, k in keyed if v == "allow"]) if by_shape else None
-    hosts = Cascade(distinct(by_host), list(listed_hosts)) if by_host else None
-    found = [
-        F.when(blocking.holds(k) | allowing.holds(k), F.struct(F.length(k).alias("n"), F.lit(n).alias("labels"), k.alias("rule"), F.when(blocking.holds(k), "block").otherwise("allow").alias("verdict")))
-        for k, (n, _) in zip(by_shape, shapes(rules))
-    ]
+    by_shape = {f"__r{i}": _key(labels, F.col("path"), n, length) for i, (n, length) in enumerate(rule_shapes)}
+    by_host = {f"__h{i}": _key(labels, F.lit(""), n, 0) for i, n in enumerate(host_shapes)}
+    out = out.withColumns(by_shape | by_host)
+
+    def members(keys, listed):
+        universe = common.stage(out.select(F.explode(F.array_compact(F.array(*keys))).alias("key")).distinct(), "keys")
+        return [Members(universe, x) for x in listed]
+
+    found = []
+    if rules:
+        keyed = [(v, h + p) for v, h, p in rules]
+        blocking, allowing = members(by_shape, [[k for v, k in keyed if v == x] for x in ("block", "allow")])
+        for k, (n, _) in zip(by_shape, rule_shapes):
+            out = allowing.mark(blocking.mark(out, k, f"{k}b"), k, f"{k}a")
+            verdict = F.when(F.col(f"{k}b"), "block").otherwise("allow")
+            found.append(F.when(F.col(f"{k}b") | F.col(f"{k}a"), F.struct(F.length(k).alias("n"), F.lit(n).alias("labels"), F.col(k).alias("rule"), verdict.alias("verdict"))))
     best = F.array_max(F.array_compact(F.array(*found))) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
-    out = out.withColumn("_best", best)
-    on_list = F.coalesce(F.greatest(*[hosts.holds(k) for k in by_host], F.lit(False)), F.lit(False)) if by_host else F.lit(False)
+    out = out.withColumn("__best", best)
+    on_list = F.lit(False)
+    if by_host:
+        (hosts,) = members(by_host, [list(listed_hosts)])
+        for k in by_host:
+            out = hosts.mark(out, k, f"{k}l")
+            on_list = on_list | F.col(f"{k}l")
     by_method = F.when(on_list, "block").otherwise("allow")
-    return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), by_method)).drop("_best")
+    return out.select(*[F.col(f"`{c}`") for c in names], "host", "path", F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), by_method).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,15 +37,40 @@ def test_other_rules_and_no_rules(spark):
     assert {r["verdict"] for r in u.filter_urls(df, (), ()).collect()} == {"allow"}
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact(spark, monkeypatch):
     keys = [f"k{i}" for i in range(20_000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
     listed = keys[::7] + ["not in the universe"]
-    made = u.Cascade(universe, listed)
+    monkeypatch.setattr(u, "RATE", 0.5)  # many levels
+    monkeypatch.setattr(u, "LEAST_BITS", 64)
+    made = u.Members(universe, listed)
     got = {r["key"] for r in universe.where(made.holds(universe["key"])).collect()}
     assert got == set(keys[::7]) and len(made.levels) > 2
-    joined = u.membership_by_join(universe, spark.createDataFrame([(k,) for k in listed], "key string"))
-    assert {r["key"] for r in joined.where("listed").collect()} == got
+    monkeypatch.undo()
+    assert len(u.Members(universe, listed).levels) <= 3
+    table = u.Members(universe, spark.createDataFrame([(k,) for k in listed + [None, keys[0]]], "key string"))
+    assert {r["key"] for r in table.mark(universe, "key", "x").where("x").collect()} == got
+    monkeypatch.setattr(u, "MAX_BITS", 100)
+    joined = u.Members(universe, listed)
+    assert joined.levels is None and {r["key"] for r in joined.mark(universe, "key", "x").where("x").collect()} == got
+
+
+def test_bits_follow_the_listed_keys(spark):
+    universe = spark.range(300_000).selectExpr("concat('u', id) as key")
+    made = u.Members(universe, [f"u{i * 1000}" for i in range(20)])
+    assert [m for m, _, _ in made.levels] == [u.LEAST_BITS] * len(made.levels) and len(made.levels) <= 2
+    made = u.Members(universe, [f"u{i * 100}" for i in range(3000)])
+    assert sum(m for m, _, _ in made.levels) < 3000 * 20 + u.LEAST_BITS * len(made.levels)
+    assert universe.where(made.holds(universe["key"])).count() == 3000
+
+
+def test_beyond_the_bits_the_answer_is_the_same(spark, monkeypatch):
+    monkeypatch.setattr(u, "MAX_BITS", 0)
+    df = spark.createDataFrame([(i, x, 1, "h") for i, x in enumerate(URLS * 2)], "page_id long, url string, key int, host string")
+    got = u.filter_urls(df).collect()
+    assert len(got) == len(URLS) * 2
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(r["url"]), r["url"]
 
 
 def test_query(spark, sf):
