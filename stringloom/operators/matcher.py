@@ -16,6 +16,7 @@ class Matcher:
     """Codes of whole rows under one dictionary, as big-endian 16-bit units."""
 
     def __init__(self, dictionary: Dictionary, accelerate: bool = True):
+        self.tokens = dictionary.tokens
         self.single = dictionary.num_tokens == 256 and dictionary.complete
         self.index = {t: i.to_bytes(2, "big") for i, t in enumerate(dictionary.tokens)}
         # the longest token for each pair of first bytes bounds how far to look

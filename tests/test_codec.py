@@ -8,6 +8,7 @@ from stringloom.config import Config
 from stringloom.errors import Defect, InvalidColumn, OutputTooSmall
 from stringloom.functions.dictionary import Dictionary
 from stringloom.operators import codec as ops
+from stringloom.operators import train
 from stringloom.operators.matcher import Matcher
 from stringloom.operators.train import learn
 from stringloom.sources import interchange, tables
@@ -70,9 +71,25 @@ def test_round_trip_with_nulls_and_large_codes(spark):
 
 def test_fit_is_the_same_for_any_partitioning(spark, sf):
     df = tables.table(spark, sf, "documents")
-    a = Codec.fit(df, "text", Config(max_sample_bytes=60_000))
-    b = Codec.fit(df.repartition(7), "text", Config(max_sample_bytes=60_000))
+    a = Codec.fit(df, "text", Config(threshold=1.0))
+    b = Codec.fit(df.repartition(7), "text", Config(threshold=1.0))
     assert a == b and a.dictionary.num_tokens > 300
+    small = Config(max_sample_bytes=60_000)
+    assert Codec.fit(df, "text", small) == Codec.fit(df, "text", small)
+
+
+def test_the_sample_is_of_rows_and_bounded(spark):
+    """60 % of the rows are one value: it is in every sample, about so often, and no seed reads more than its budget."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 5 < 3, F.lit("the hot value of this table")).otherwise(F.concat(F.lit("cold "), F.xxhash64("id").cast("string"))).alias("v"))
+    for seed in range(12):
+        config = Config(threshold=0.05, seed=seed, max_sample_bytes=100_000)
+        chosen, budget = train.sample(rows, "v", config)
+        assert budget <= 100_000
+        hot, every = chosen.where(F.col("v") == F.lit(b"the hot value of this table")).agg(F.sum("m")).first()[0], chosen.agg(F.sum("m")).first()[0]
+        assert abs(hot / every - 0.6) < 0.03 and chosen.agg(F.sum(F.octet_length("v"))).first()[0] < 3 * budget + 200_000
+    made = Codec.fit(rows, "v", Config(threshold=0.05, max_dict_bits=9, max_sample_bytes=100_000))
+    assert len(made.dictionary.tokenize(b"the hot value of this table")) <= 3
+    assert learn([b"ab" * 5000, b"never read" * 9], Config(), 6000) == learn([b"ab" * 3000], Config())
 
 
 def test_row_access_and_capacity(spark):
