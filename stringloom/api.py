@@ -33,8 +33,9 @@ class Codec:
 
     # -- encoding and decoding
 
-    def transform(self, df: DataFrame, drop: bool = False) -> DataFrame:
-        return ops.encode(df, self.column, self.dictionary, drop=drop)
+    def transform(self, df: DataFrame, drop: bool = False, codes: bool = True) -> DataFrame:
+        """df with codes and packed; drop: without the value; codes False: packed alone, which is enough to search and to decode."""
+        return ops.encode(df, self.column, self.dictionary, "codes" if codes else None, drop=drop)
 
     def transform_distinct(self, df: DataFrame) -> DataFrame:
         """For columns of few distinct values: each value is encoded once and joined back."""
@@ -42,7 +43,12 @@ class Codec:
         return df.join(ops.encode(values, self.column, self.dictionary), self.column, "left")
 
     def decode(self, encoded: DataFrame, value: str = "value", kind: str = "string") -> DataFrame:
-        return ops.decode(encoded, self.dictionary, value=value, kind=kind)
+        return ops.decode(encoded, self.dictionary, self._codes(encoded), value, kind)
+
+    @staticmethod
+    def _codes(encoded: DataFrame) -> str:
+        """Packed rows are cheaper to move than lists."""
+        return "packed" if "packed" in encoded.columns else "codes"
 
     def decode_row(self, encoded: DataFrame, key: str, k, value: str = "value", kind: str = "string") -> DataFrame:
         """Random access: the rows whose key is k, decoded; the others are not touched."""
@@ -57,7 +63,7 @@ class Codec:
         return encoded.where(predicates.starts_with(F.col("packed"), needle, self.dictionary))
 
     def containing(self, encoded: DataFrame, pattern: bytes | str) -> DataFrame:
-        return encoded.where(predicates.contains(F.col("codes"), pattern, self.dictionary))
+        return encoded.where(predicates.contains(F.col(self._codes(encoded)), pattern, self.dictionary))
 
     def containing_with_scan(self, encoded: DataFrame, pattern: bytes | str, index: frequency.FrequencyIndex | None = None) -> DataFrame:
         return predicates.contains_scan(encoded, pattern, self.dictionary, index.cumulative if index is not None else None)

@@ -17,7 +17,7 @@ from stringloom.operators.codec import decode, encode, unpack
 from stringloom.operators.train import learn
 from stringloom.plans.cover import Cover
 from stringloom.sources import interchange
-from stringloom.sources.tables import string_column, table, urls
+from stringloom.sources.tables import spread, string_column, table, urls
 
 #: Words of the dictionary that the fixed-dictionary queries use, beside the single bytes.
 FIXED = ("http", "https", "://", "example", ".com", ".org", "www.", "blog.", "/en/", "/de/", "red", "green", "blue", "an", "in")
@@ -30,14 +30,15 @@ def codec(spark: SparkSession, sf_dir: str, name: str, column: str, bits: int =
     return Codec.fit(table(spark, sf_dir, name), column, Config(max_dict_bits=bits))
 
 
-def _encoded(spark, sf_dir, name, key, column, bits=12):
+def _encoded(spark, sf_dir, name, key, column, bits=12, codes=True):
+    """The fitted codec and the encoded table, without the values; codes False: packed rows alone."""
     made = codec(spark, sf_dir, name, column, bits)
-    return made, made.transform(table(spark, sf_dir, name).select(key, column), drop=True)
+    return made, made.transform(spread(table(spark, sf_dir, name).select(key, column)), drop=True, codes=codes)
 
 
 def _round_trip(name, key, column, bits=12):
     def query(spark, sf_dir):
-        made, rows = _encoded(spark, sf_dir, name, key, column, bits)
+        made, rows = _encoded(spark, sf_dir, name, key, column, bits, codes=False)
         return made.decode(rows, "value").select(key, "value")
 
     return query, f"SELECT {key}, {column} AS value FROM {name}"
@@ -47,7 +48,7 @@ def _search(method, name, key, column, needle, bits=12):
     test = {"equal_to": "{c} = '{n}'", "starting_with": "starts_with({c}, '{n}')", "containing": "contains({c}, '{n}')", "containing_with_scan": "contains({c}, '{n}')"}[method]
 
     def query(spark, sf_dir):
-        made, rows = _encoded(spark, sf_dir, name, key, column, bits)
+        made, rows = _encoded(spark, sf_dir, name, key, column, bits, codes=False)
         return getattr(made, method)(rows, needle).select(key)
 
     return query, f"SELECT {key} FROM {name} WHERE " + test.format(c=column, n=needle.replace("'", "''"))
@@ -60,7 +61,7 @@ def _planned_scan(spark, sf_dir):
 
 
 def _random_access(spark, sf_dir):
-    made, rows = _encoded(spark, sf_dir, "documents", "doc_id", "text")
+    made, rows = _encoded(spark, sf_dir, "documents", "doc_id", "text", codes=False)
     return made.decode_row(rows, "doc_id", 7).select("doc_id", "value")
 
 
@@ -186,7 +187,7 @@ def _compression(spark, sf_dir):
     out = None
     for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "url"), ("pages", "page_id", "html")):
         made = codec(spark, sf_dir, name, column)
-        part = made.compression(made.transform(table(spark, sf_dir, name).select(key, column))).select(F.lit(f"{name}.{column}").alias("column"), "raw_bytes", "n_codes", "stored_bytes", "ratio")
+        part = made.compression(made.transform(table(spark, sf_dir, name).select(key, column))).select(F.lit(f"{name}.{column}").alias("column"), "raw_bytes", "n_codes", "n_rows", "stored_bytes", "ratio")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -199,6 +200,37 @@ def _urls(spark, sf_dir):
     return urls(spark, 100_000)
 
 
+def _url_hosts(spark, sf_dir):
+    """The generator's hosts and sections: with so many URLs, each pair occurs."""
+    parts = F.regexp_extract("url", r"^https://([^/]+)/([^?]+)\?id=[0-9]+$", 1), F.regexp_extract("url", r"^https://([^/]+)/([^?]+)\?id=[0-9]+$", 2)
+    return urls(spark, 100_000).select(parts[0].alias("host"), parts[1].alias("section")).distinct()
+
+
+_HOSTS_SQL = """
+SELECT sub || '.' || name || '.example' AS host, section
+FROM (SELECT unnest(['www', 'm', 'shop']) AS sub), (SELECT unnest(['news', 'maps', 'video']) AS name),
+     (SELECT unnest(['search', 'item', 'user/profile', 'cart', 'article/2024', 'tag', 'static/img']) AS section)
+"""
+
+
+def _byte_tokens(spark, sf_dir):
+    """The tokens of one byte of a trained dictionary, and how many longer ones start with each byte's token range, which holds its own."""
+    made = codec(spark, sf_dir, "documents", "text").dictionary
+    tokens = made.to_dataframe(spark).where(F.octet_length("token") == 1)
+    rows = [(i, len(made.prefix_range(bytes([i]))) >= 1) for i in range(256)]
+    return tokens.select(F.hex("token").alias("byte")).join(spark.createDataFrame(rows, "b int, held boolean").select(F.lpad(F.hex("b"), 2, "0").alias("byte"), "held"), "byte")
+
+
+def _sizes(spark, sf_dir):
+    """What compression() counts of the values themselves, and whether the codes are clearly smaller."""
+    return _compression(spark, sf_dir).select("column", "raw_bytes", "n_rows", (F.col("ratio") > 1.5).alias("smaller"))
+
+
+_SIZES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}.{c}' AS column, sum(octet_length(encode({c})))::BIGINT AS raw_bytes, count(*) AS n_rows, true AS smaller FROM {t}" for t, c in (("documents", "text"), ("pages", "url"), ("pages", "html"))
+)
+
+
 def _all() -> dict:
     """name -> (query, SQL or None)."""
     return {
@@ -254,6 +286,9 @@ def _all() -> dict:
         "compression": (_compression, None),
         "token_table": (_token_table, None),
         "synthetic_urls": (_urls, None),
+        "compression_sizes": (_sizes, _SIZES_SQL),
+        "byte_tokens": (_byte_tokens, "SELECT printf('%02X', b::INT) AS byte, true AS held FROM range(256) r(b)"),
+        "synthetic_url_hosts": (_url_hosts, _HOSTS_SQL),
     }
 
 

@@ -1,7 +1,8 @@
 """Filters on encoded columns: equality, prefix and substring, without decoding the rows that don't match.
 
-Equality and prefix compile to comparisons of `packed` with constants, which reach the Parquet scan. Substring is either the automaton
-or a native probe for the planned cover followed by an exact check of the rows that are left.
+Equality and prefix compile to comparisons of `packed` with constants, which reach the Parquet scan. Substring search works on whole
+batches of codes as arrays (columns of lists or packed rows): by the automaton, by a probe for the planned cover whose hits are checked
+where they stand, or by decoding, whichever the plan prices lowest.
 """
 from __future__ import annotations
 
@@ -9,13 +10,14 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.functions.dictionary import EMPTY_RANGE, Dictionary, TokenRange
-from stringloom.operators.codec import decode_column, pack
-from stringloom.plans.automaton import MAX_PATTERN, Automaton
-from stringloom.plans.cover import Cover, Scan
+from stringloom.operators.codec import flat_codes, pack
+from stringloom.plans.automaton import Automaton
+from stringloom.plans.cover import SET_CODES, Cover, Scan, Verifier
 
 
 def _bytes(value: bytes | str) -> bytes:
@@ -79,34 +81,74 @@ def starts_with(packed: Column, needle: bytes | str, dictionary: Dictionary) ->
     return PrefixQuery(needle, dictionary).column(packed)
 
 
+def _by_rows(codes: Column, rows_of) -> Column:
+    """A filter on a column of lists of codes or of packed rows; rows_of() makes, in the worker, the function of (codes, where rows begin)."""
+    made: list = []
+
+    @F.arrow_udf("boolean")
+    def holds(column: pa.Array) -> pa.Array:
+        if not made:
+            made.append(rows_of())
+        return pa.array(made[0](*flat_codes(column)), mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return holds(codes)
+
+
 def contains(codes: Column, pattern: bytes | str, dictionary: Dictionary) -> Column:
-    """By automaton; exact for any tokenization, patterns of up to 255 bytes."""
-    return Automaton(_bytes(pattern), dictionary).column(codes)
+    """By automaton; exact for any tokenization, patterns of up to 255 bytes. codes: lists of codes, or packed rows."""
+    automaton = Automaton(_bytes(pattern), dictionary)
+    return _by_rows(codes, lambda: automaton.rows) if automaton.states > 1 else codes.isNotNull()
 
 
 def probe(codes: Column, cover: Cover) -> Column:
-    """Whether a row has a code of the cover."""
+    """Whether a row's list of codes has one of the cover, in the JVM."""
+    every = cover.codes()
+    if len(every) <= SET_CODES:
+        # a set of over ten becomes a hash set; numbers that are no codes make up for fewer
+        return F.exists(codes, lambda c: c.isin([*every, *range(-12, -1)]))
 
     def hit(c: Column) -> Column:
         tests = [c.between(a, b) for a, b in cover.ranges]
         if cover.points:
             tests.append(c.isin(cover.points))
-        return reduce(or_, tests) if tests else F.lit(False)
+        return reduce(or_, tests)
 
     return F.exists(codes, hit)
 
 
-def contains_scan(df: DataFrame, pattern: bytes | str, dictionary: Dictionary, prefix: list[int] | None = None, codes: str = "codes") -> DataFrame:
-    """Rows of df that hold the pattern: those that the planned probe lets through, checked exactly. Patterns of up to 65,535 bytes."""
+def contains_scan(df: DataFrame, pattern: bytes | str, dictionary: Dictionary, prefix: list[int] | None = None, codes: str = "codes", packed: str = "packed", way: str | None = None) -> DataFrame:
+    """Rows of df that hold the pattern, by the way that the plan prices lowest (or `way`). Patterns of up to 65,535 bytes.
+
+    Of the columns `codes` (lists) and `packed`, one is enough; without lists the JVM can't probe, and packed rows are cheaper to move.
+    """
     pattern = _bytes(pattern)
     plan = Scan(pattern, dictionary, prefix)
+    lists = codes in df.columns
+    column = F.col(packed if packed in df.columns else codes)
     if plan.cover is None:
-        return df.where(F.col(codes).isNotNull())
-    rows = df if plan.whole else df.where(probe(F.col(codes), plan.cover))
-    if len(pattern) <= MAX_PATTERN:
-        return rows.where(Automaton(pattern, dictionary).column(F.col(codes)))
-    inside = F.transform(codes, lambda c: F.when((c >= 0) & (c < dictionary.num_tokens), c))
-    return rows.where(F.contains(decode_column(inside, dictionary), F.lit(bytearray(pattern))))
+        return df.where(column.isNotNull())
+    ways = [w for w in plan.ways if (way is None or w.kind == way) and (lists or w.kind != "native")]
+    if not ways:
+        raise ValueError(f"no way {way} to scan for this pattern")
+    kind, cover = ways[0].kind, ways[0].cover
+    if kind == "automaton":
+        return df.where(contains(column, pattern, dictionary))
+    if kind == "native":
+        df = df.where(probe(F.col(codes), cover))
+    return df.where(_by_rows(column, lambda: _verified(pattern, dictionary, cover)))
+
+
+def _verified(pattern: bytes, dictionary: Dictionary, cover: Cover | None):
+    """(codes, where rows begin) to whether each row holds the pattern; cover None: every code is a hit."""
+    verifier = Verifier(pattern, dictionary)
+    table = np.append(admits(cover, dictionary.num_tokens), False) if cover is not None else np.ones(dictionary.num_tokens + 1, bool)
+
+    def rows(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = dictionary.num_tokens
+        known = codes if not len(codes) or (codes.max() < n and codes.min() >= 0) else np.where((codes >= 0) & (codes < n), codes, n)
+        return verifier.rows(codes, at, np.flatnonzero(table[known]))
+
+    return rows
 
 
 def admits(cover: Cover, num_tokens: int) -> np.ndarray:

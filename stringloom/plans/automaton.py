@@ -2,15 +2,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from stringloom.errors import PatternTooLong
 from stringloom.functions.dictionary import Dictionary
 
 MAX_PATTERN = 255
-#: Entries of the transition table up to which the automaton runs as a JVM expression.
-JVM_ENTRIES = 400_000
 
 
 class Automaton:
@@ -54,29 +50,34 @@ class Automaton:
             state = int(self.next[state, c]) if 0 <= c < self.n else 0
         return state == self.states - 1
 
-    def column(self, codes: Column) -> Column:
-        """Whether a row's codes hold the pattern; a code outside the dictionary starts over."""
-        last = self.states - 1
-        if not last:
-            return codes.isNotNull()
-        if self.next.size <= JVM_ENTRIES:
-            table = F.lit(self.next.reshape(-1).astype(np.int16))
-            n = self.n
-
-            def step(state, c):
-                inside = F.when((c >= 0) & (c < n), F.get(table, state * n + c).cast("int")).otherwise(F.lit(0))
-                return F.when(state == last, state).otherwise(inside)
-
-            return F.when(codes.isNotNull(), F.aggregate(codes, F.lit(0), step) == last)
-        return _by_arrow(self)(codes)
+    @property
+    def live(self) -> np.ndarray:
+        """Codes after which something of the pattern may be matched (from some state short of the end); all others start over."""
+        return (self.next[:-1] != 0).any(axis=0)
 
+    def rows(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each of the rows that begin at `at` among the codes holds the pattern; a code outside the dictionary starts over.
 
-def _by_arrow(automaton: Automaton):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("boolean")
-    def holds(codes: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else automaton.accepts(c) for c in codes], dtype="object")
-
-    return holds
+        All stretches of live codes, of all rows, run side by side: as a stretch begins in the first state, they don't depend on each other.
+        """
+        last, n_rows = self.states - 1, len(at) - 1
+        if not last:
+            return np.ones(n_rows, bool)
+        out = np.zeros(n_rows, bool)
+        table = np.append(self.live, False)
+        inside = np.where((codes >= 0) & (codes < self.n), codes, self.n)
+        place = np.flatnonzero(table[inside])
+        if not len(place):
+            return out
+        row = np.searchsorted(at[1:], place, "right")
+        begin = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1])]))
+        length = np.diff(np.append(begin, len(place)))
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        row, symbols = row[begin], inside[place]
+        state = np.zeros(len(begin), np.uint8)
+        for step in range(int(length[0])):
+            k = int(np.searchsorted(-length, -step, "left"))  # stretches longer than `step` come first
+            state[:k] = self.next[state[:k], symbols[begin[:k] + step]]
+        out[row[state == last]] = True
+        return out

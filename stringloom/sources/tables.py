@@ -14,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scan partitions up to which a table is dealt out over the cluster's cores.
+FEW_PARTITIONS = 8
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if it is read as a few partitions only (a small file of one row group is one task's work otherwise).
+
+    That bounds what is shuffled to a few file splits; tables of more partitions, and streams, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores and n <= FEW_PARTITIONS else df
+
+
 def string_column(df: DataFrame, column: str | None = None, null_as_empty: bool = True) -> DataFrame:
     """One column as `v`: the named one, or the first string column; NULL as the empty string if asked for."""
     column = column or next((f.name for f in df.schema.fields if isinstance(f.dataType, StringType)), None)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,43 @@ def test_bad_codes_match_nothing(spark):
     df = spark.createDataFrame([(0, [97, 9999, 99]), (1, [97, 99])], "k int, codes array<int>")
     assert [r["k"] for r in df.where(predicates.contains(F.col("codes"), "ab", d)).collect()] == [1]
     assert encode(df.select("k", F.lit("ab").alias("s")), "s", d).first()["codes"] == [d.tokens.index(b"ab")]
+
+
+def test_vectorised_rows_equal_plain_ones():
+    """The automaton and the verifier on arrays, against the values; rows next to each other must not leak into one another."""
+    rng = random.Random(11)
+    for _ in range(150):
+        d = Dictionary.of({some(rng, 6, b"abc") + b"ab" for _ in range(10)})
+        rows = [some(rng, 40, b"abc") for _ in range(15)] + [b"", b"ab" * 30]
+        codes = [d.tokenize(r) for r in rows]
+        flat = np.array([c for x in codes for c in x], np.int32)
+        at = np.cumsum([0, *map(len, codes)])
+        for pattern in (some(rng, 7, b"abc"), b"ab" * rng.randint(1, 20), rows[3][2:9]):
+            want = [pattern in r for r in rows]
+            assert Automaton(pattern, d).rows(flat, at).tolist() == want
+            if pattern:
+                plan = Scan(pattern, d, None)
+                for cover in {id(w.cover): w.cover for w in plan.ways}.values():
+                    assert predicates._verified(pattern, d, cover)(flat, at).tolist() == want
+    d = Dictionary.of([b"ab"])
+    a, b, ab = (d.tokens.index(t) for t in (b"a", b"b", b"ab"))
+    flat = np.array([a, 9999, b, a, b, ab], np.int32)
+    for f in (Automaton(b"ab", d).rows, predicates._verified(b"ab", d, None)):
+        assert f(flat, np.array([0, 3, 5, 6])).tolist() == [False, True, True]
+
+
+def test_every_way_to_scan_finds_the_same(spark, sf):
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    made = Codec.fit(docs, "text", Config(max_sample_bytes=100_000))
+    rows = made.transform(docs).cache()
+    index = made.frequencies(rows)
+    for pattern in ("thing", "e", "of the", "ciónes", "QQzz", " ".join(["the"] * 90)):
+        want = {r[0] for r in docs.where(F.contains("text", F.lit(pattern))).select("doc_id").collect()}
+        plan = made.plan(pattern, index)
+        assert [w.cost for w in plan.ways] == sorted(w.cost for w in plan.ways) and plan.way.kind in plan.explain()
+        for kind in {w.kind for w in plan.ways}:
+            got = predicates.contains_scan(rows, pattern, made.dictionary, index.cumulative, way=kind)
+            assert {r[0] for r in got.select("doc_id").collect()} == want, (pattern, kind)
+    assert made.plan("QQzz", index).way.kind == "native" and made.plan("e", index).way.kind in ("decode", "automaton")
+    with pytest.raises(ValueError):
+        predicates.contains_scan(rows, " ".join(["the"] * 90), made.dictionary, way="automaton")
