@@ -222,8 +222,8 @@ def _byte_tokens(spark, sf_dir):
 
 
 def _sizes(spark, sf_dir):
-    """What compression() counts of the values themselves, and whether the codes are clearly smaller."""
-    return _compression(spark, sf_dir).select("column", "raw_bytes", "n_rows", (F.col("ratio") > 1.5).alias("smaller"))
+    """What compression() counts of the values themselves, and whether their codes are smaller."""
+    return _compression(spark, sf_dir).select("column", "raw_bytes", "n_rows", (2 * F.col("n_codes") < F.col("raw_bytes")).alias("smaller"))
 
 
 _SIZES_SQL = " UNION ALL ".join(

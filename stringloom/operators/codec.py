@@ -19,7 +19,7 @@ from stringloom.operators.matcher import Matcher
 def encode(df: DataFrame, column: str, dictionary: Dictionary, codes: str | None = "codes", packed: str | None = "packed", drop: bool = False) -> DataFrame:
     """df with the columns `codes` and `packed` (either may be None); no shuffle, streaming tables too."""
     names = [c for c in df.columns if c not in (codes, packed) and not (drop and c == column)]
-    added = [StructField(codes, ArrayType(IntegerType(), False))] * bool(codes) + [StructField(packed, BinaryType())] * bool(packed)
+    added = ([StructField(codes, ArrayType(IntegerType(), False))] if codes else []) + ([StructField(packed, BinaryType())] if packed else [])
     schema = StructType([df.schema[n] for n in names] + added)
     source = df.select(*names, F.col(column).cast("binary").alias("__value"))
 
