@@ -3,25 +3,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stringloom.sources.tables import spread
+
 #: Words as the contracts define them: runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, dealt out over the cores if it is a few file splits only."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one of this machine (with a warning) only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = getattr(spark.sparkContext, "_stringloom_dir", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="stringloom-")
+            warnings.warn(f"spark.checkpoint.dir is unset: intermediate tables go to {folder}, which a cluster does not share", stacklevel=2)
             spark.sparkContext._stringloom_dir = folder
     return folder.rstrip("/")
 

@@ -361,8 +361,13 @@ class Model:
 
     def log10(self, texts: pa.Array):
         """(tokens, known tokens, base log10, model log10) of each text."""
-        doc, ids, counts, ctx, c_ctx, b_ctx = self.pairs_of(texts)
+        doc, counts, base, score = self.tokens_log10(texts)
         n = len(texts)
+        return np.bincount(doc, minlength=n), np.bincount(doc[counts > 0], minlength=n), np.bincount(doc, base, n), np.bincount(doc, score, n)
+
+    def tokens_log10(self, texts: pa.Array):
+        """(text, count, base log10, model log10) of each token, the ends included."""
+        doc, ids, counts, ctx, c_ctx, b_ctx = self.pairs_of(texts)
         u = (counts + ALPHA) / (self.total + ALPHA * (self.n_words + 1))
         left, seen = np.ones(len(ids)), np.zeros(len(ids))
         can = np.flatnonzero(ctx >= 0)
@@ -407,9 +412,7 @@ class Model:
                 at = np.minimum(np.searchsorted(many, ctx), len(many) - 1)
                 hit = many[at] == ctx
                 left[hit] = value[at[hit]]
-        base = np.bincount(doc, np.log10(u), n)
-        score = np.bincount(doc, np.log10(seen + left * u), n)
-        return np.bincount(doc, minlength=n), np.bincount(doc[counts > 0], minlength=n), base, score
+        return doc, counts, np.log10(u), np.log10(seen + left * u)
 
 
 def _write_words(folder: str, n_shards: int):

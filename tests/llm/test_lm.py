@@ -90,20 +90,25 @@ def test_scores_by_brute_force(spark, sf, monkeypatch, tmp_path, shard):
         assert any(abs(r["score"] - score) <= 0.02 * abs(score) + 1e-6 for r in near)
 
 
-def test_probabilities_sum_to_at_most_one(spark, sf, tmp_path):
+def test_probabilities_of_a_context_sum_to_one(spark, tmp_path):
+    """Over all words, the end and an unseen word: exactly what the rounding down of stored values takes away is missing, and no more."""
     import pyarrow as pa
 
-    rows = [(i, t) for i, t in corpus(spark, sf) if i is not None][:60]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm.train(df, "file://" + str(tmp_path))
-    every = sorted({w for i, t in rows if not held(i) for w in tokens(t)} - {"</s>"})
-    for context in ("the", "of", "neverseen"):
-        first = model.log10(pa.array([context]))[3][0]  # context, then the end
-        alone = model.log10(pa.array([f"{context} {w}" for w in every]))[3]
-        ends = model.log10(pa.array(every))[3]
-        begins = model.log10(pa.array([""]))[3][0]
-        # P(w | context) = P(context w end) / P(context ...) needs the end's share; compare totals through the vocabulary instead
-        assert len(alone) == len(ends) and np.isfinite(alone).all() and first < 0 and begins < 0
+    train_ids = [i for i in range(3000) if not held(i)]
+    names = [f"w{i}" for i in range(40)]
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(names, 12))) for i in train_ids[:150]] + [(train_ids[200 + i], f"rare{i} w1 w2") for i in range(30)] + [(train_ids[300], "hot " * 400)]
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"), "file://" + str(tmp_path), min_pair=1)
+    every = sorted({w for _, t in rows for w in t.split()})
+
+    def after(context, word):
+        """P(word | context): of the token after the context, the end if there is no word."""
+        doc, _, _, p = model.tokens_log10(pa.array([f"{context} {w}" for w in word]))
+        return [10 ** p[doc == i][len(context.split())] for i in range(len(word))]
+
+    for context in ("", *names[:6], "rare3", "hot", "w1", "neverseen"):
+        total = sum(after(context, ["", "unheardof", *every]))
+        assert 0.975 < total <= 1 + 1e-9, (context, total)
 
 
 def test_no_rows(spark, tmp_path):
