@@ -37,7 +37,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A chunk ends on average after 2 ** CHUNK_BITS bytes.
 CHUNK_BITS = 9
 #: Pieces (words with their blank) whose ids a worker remembers: up to twice as many, the older half only until the next change.
-MEMORY_PIECES = 450_000
+MEMORY_PIECES = 300_000
 #: Stretches in a file of the store, about.
 SHARD_STRETCHES = 500_000
 _ODD = re.compile(r"\s\s|\s\Z|\x00")
@@ -258,6 +258,7 @@ def _merged(k: np.ndarray, owner: np.ndarray, count: np.ndarray):
 def _count(path: str, bits: int, shards: int):
     """Batches of texts to the digests of their stretches: counts and least rows, by shard."""
 
+    @common.freeing
     def run(batches):
         worker = ChunkEncoder(path, bits)
         keys, owners, n = [], [], 0
@@ -317,6 +318,7 @@ def _keep_ids(folder: str):
 
 
 def _each_shard(write):
+    @common.freeing
     def run(batches):
         parts, now = [], None
         for batch in batches:
@@ -335,6 +337,7 @@ def _each_shard(write):
 def _encode_shared(path: str, bits: int, store: Store):
     """Batches of texts to the ids of the shared stretches that their rows are the ones to encode, by shard."""
 
+    @common.freeing
     def run(batches):
         worker = ChunkEncoder(path, bits)
         for batch in batches:
@@ -364,6 +367,7 @@ def _encode_shared(path: str, bits: int, store: Store):
 
 
 def _encode(path: str, bits: int, store: Store | None):
+    @common.freeing
     def run(batches):
         worker = ChunkEncoder(path, bits)
         for batch in batches:

@@ -96,7 +96,7 @@ class Items:
         self.ids, self.radius, self.n_items = ids, radius, n_items
         self.length = np.asarray(lengths, np.int64)
         self.most = int(weigh(n_items, [1])[0]) if n_items else UNIT
-        self.holders = np.ones(SHARED, np.int64)
+        self.holders = np.ones(SHARED, np.int32)
         if shared is not None:
             self.holders[shared[0]] = shared[1]
         #: words of the items, ascending; an item's group is the place of its number of words
@@ -325,6 +325,7 @@ def _open(block, name: str) -> Items:
 
 
 def _find(block, name: str):
+    @common.freeing
     def run(batches):
         items = _open(block, name)
         for batch in batches:
@@ -339,6 +340,7 @@ def _find(block, name: str):
 
 
 def _drop(block, name: str):
+    @common.freeing
     def run(batches):
         items = _open(block, name)
         for batch in batches:
@@ -352,6 +354,7 @@ def _drop(block, name: str):
     return run
 
 
+@common.freeing
 def _shingled(batches):
     for batch in batches:
         made = [shingles_of(t or "") for t in batch.column(1).to_pylist()]

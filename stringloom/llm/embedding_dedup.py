@@ -101,6 +101,7 @@ class Tree:
 
 
 def _prepare():
+    @common.freeing
     def run(batches):
         for batch in batches:
             names = batch.schema.names
@@ -131,6 +132,7 @@ def _grown(seed: int):
         made = [Tree(x, (seed * 1000 + t) ^ (leaf & 0xFFFFFFFF), least) for t in range(trees)]
         return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps(made)], pa.binary())], names=["leaf", "trees"])
 
+    @common.freeing
     def run(batches):
         now, held = None, []
         for batch in batches:
@@ -149,6 +151,7 @@ def _grown(seed: int):
 def _place(known: dict[int, bytes] | None):
     """Rows (cid, leaf, v, trees or null) to (cid, leaf) below; known: the trees by leaf, if they are not in the rows."""
 
+    @common.freeing
     def run(batches):
         opened: dict[int, list[Tree]] = {}
         for batch in batches:
@@ -257,6 +260,7 @@ def _compare(cosine: float):
             out_n += n[some].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b, out_n)], names=["a", "b", "n"])
 
+    @common.freeing
     def run(batches):
         held, key = [], None
 

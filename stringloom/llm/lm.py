@@ -219,6 +219,7 @@ def _received(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _count(keys_of, shard_of):
     """mapInArrow: doc_id and text to the counted keys of training texts, by shard."""
 
+    @common.freeing
     def run(batches):
         counter = Counter()
         for batch in batches:
@@ -244,6 +245,7 @@ def _count(keys_of, shard_of):
 def _merge(build, schema_names):
     """mapInArrow over rows sorted by shard: merge each shard's arrays and hand them to build(shard, keys, counts), which gives a row."""
 
+    @common.freeing
     def run(batches):
         counter, now = Counter(), None
         for batch in batches:
@@ -548,6 +550,7 @@ def train(docs: DataFrame, folder: str, min_pair: int = MIN_PAIR) -> Model:
 
 
 def _score(model: Model):
+    @common.freeing
     def run(batches):
         for batch in batches:
             names = batch.schema.names

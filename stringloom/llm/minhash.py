@@ -96,6 +96,7 @@ SIGNED = "doc_id long, hash long, n_shingles long, d1 long, d2 long, bands array
 
 
 def _sign(k: int):
+    @common.freeing
     def run(batches):
         for batch in batches:
             names = batch.schema.names
@@ -121,6 +122,7 @@ def _sign(k: int):
 def _confirm(k: int, percent: int):
     """Batches of (a, b, ta, tb) to those pairs whose sets are similar enough; sets of repeated texts are remembered within a batch run."""
 
+    @common.freeing
     def run(batches):
         held: dict[int, np.ndarray] = {}
 
@@ -308,6 +310,7 @@ def _compare_blocks(k: int, percent: int):
                 out.append((int(rep[x]), int(rep[y])))
         return [o[0] for o in out], [o[1] for o in out]
 
+    @common.freeing
     def run(batches):
         held, key = [], None
 

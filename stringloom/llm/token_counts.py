@@ -76,6 +76,7 @@ class WordCounter:
 
 
 def _encode(path: str):
+    @common.freeing
     def run(batches):
         counter = WordCounter(path)
         for batch in batches:

@@ -330,6 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     return pickle.loads(made[0]["field"]) if made else train([], [])
 
 
+@common.freeing
 def _train(batches):
     """The bounded sample, in one task, to the field."""
     rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
@@ -357,6 +358,7 @@ def judge(texts: pa.Array, field: Field, spans: bool = True) -> tuple[np.ndarray
 
 
 def _score(field: Field):
+    @common.freeing
     def run(batches):
         for batch in batches:
             names = batch.schema.names
@@ -367,6 +369,7 @@ def _score(field: Field):
 
 
 def _keep(field: Field):
+    @common.freeing
     def run(batches):
         for batch in batches:
             scores, _ = judge(batch.column(batch.schema.names.index("text")), field, spans=False)
