@@ -18,8 +18,20 @@ from stringloom.sources.tables import spread
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are wide, and executors hold several batches of them at once, in the JVM and in the workers.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows; queries and the pipeline do so before they work on texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, dealt out over the cores if it is a few file splits only."""
+    """The table, in small batches, dealt out over the cores if it is a few file splits only."""
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
