@@ -7,9 +7,16 @@ personal_data       spans are replaced by their kind in angle brackets
 encoding            texts are encoded; the rows are what operator 10 gives
 
 All stages but the last return the columns of their input.
+
+Defined results: a null or empty text is not toxic, no near duplicate and no leak, has no personal data and no tokens, so its row stays;
+rows without a doc_id stay in the near-duplicate stage; of near duplicates (ties and repeated rows too) the least document stays once,
+while rows of one doc_id whose texts are unlike both stay; very long texts are worked on whole; an empty table gives no rows; other
+columns are carried along, whatever their names (n_chars follows the text where personal data is replaced).
 """
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stringloom.llm import bpe, common, decontamination, minhash, pii, toxicity
@@ -35,12 +42,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs))
 
 
+def _in_small_batches(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", remove_toxic),
-    ("near_duplicates", remove_near_duplicates),
-    ("decontamination", remove_benchmark),
-    ("personal_data", replace_personal_data),
-    ("encoding", encode),
+    ("toxicity", _in_small_batches(remove_toxic)),
+    ("near_duplicates", _in_small_batches(remove_near_duplicates)),
+    ("decontamination", _in_small_batches(remove_benchmark)),
+    ("personal_data", _in_small_batches(replace_personal_data)),
+    ("encoding", _in_small_batches(encode)),
 ]
 
 #: SQL has no classifier, sketch or tokenizer; the tests compare with a brute-force version.
