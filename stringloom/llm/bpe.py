@@ -37,7 +37,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A chunk ends on average after 2 ** CHUNK_BITS bytes.
 CHUNK_BITS = 9
 #: Pieces (words with their blank) whose ids a worker remembers: up to twice as many, the older half only until the next change.
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 150_000
 #: Stretches in a file of the store, about.
 SHARD_STRETCHES = 500_000
 _ODD = re.compile(r"\s\s|\s\Z|\x00")

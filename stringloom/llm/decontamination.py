@@ -26,7 +26,6 @@ an empty benchmark finds nothing; other columns are ignored.
 """
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -313,21 +312,12 @@ def leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, float, int, int
 
 
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long, hamming int"
-_made: dict[str, Items] = {}
 
 
-def _open(block, name: str) -> Items:
-    """The block's items, made once in a worker."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = Items(*block.value)
-    return _made[name]
-
-
-def _find(block, name: str):
+def _find(block):
     @common.freeing
     def run(batches):
-        items = _open(block, name)
+        items = Items(*block.value)
         for batch in batches:
             column = batch.column(batch.schema.names.index("text"))
             doc_ids = batch.column(batch.schema.names.index("doc_id"))
@@ -339,10 +329,10 @@ def _find(block, name: str):
     return run
 
 
-def _drop(block, name: str):
+def _drop(block):
     @common.freeing
     def run(batches):
-        items = _open(block, name)
+        items = Items(*block.value)
         for batch in batches:
             column = batch.column(batch.schema.names.index("text"))
             keep = np.ones(batch.num_rows, bool)
@@ -364,7 +354,7 @@ def _shingled(batches):
 
 
 def _blocks(benchmark: DataFrame):
-    """(broadcast, name) of bounded blocks of the benchmark; every item with words is in one. Holders are counted over all items first."""
+    """Broadcasts of bounded blocks of the benchmark; every item with words is in one. Holders are counted over all items first."""
     spark = benchmark.sparkSession
     made = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_shingled, "item_id long, n long, h array<long>").where("n > 0")
     made = common.stage(made.withColumn("row", F.monotonically_increasing_id()), "items")
@@ -381,7 +371,7 @@ def _blocks(benchmark: DataFrame):
 
     def give():
         ids, lengths, shingles, holders = (list(x) for x in zip(*block))
-        return spark.sparkContext.broadcast((ids, lengths, shingles, holders, n_items, shared)), uuid.uuid4().hex
+        return spark.sparkContext.broadcast((ids, lengths, shingles, holders, n_items, shared))
 
     for row in made.join(held, "row", "left").orderBy("item_id", "row").toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or size + 8 * len(row["h"]) > BLOCK_BYTES):
@@ -400,7 +390,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = None
     for block in _blocks(benchmark):
-        part = docs.mapInArrow(_find(*block), SCHEMA)
+        part = docs.mapInArrow(_find(block), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
@@ -408,7 +398,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, with all columns, without the documents that hold an item."""
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_drop(*block), docs.schema)
+        docs = docs.mapInArrow(_drop(block), docs.schema)
     return docs
 
 

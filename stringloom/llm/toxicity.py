@@ -12,8 +12,8 @@ the recursion is solved for all texts of a batch at once: tokens whose predecess
 than 1e-9. The document score is a logistic function, fitted on the training sample, of the summed marginals above FLOOR, the largest one,
 and the sum's density.
 
-The sample is trained on in one task; its bound holds for any input. Training rows: crc32(doc_id as text) mod 5 is not 0. The sample is bounded by TRAIN_DOCS documents and TRAIN_BYTES of text (expected,
-by hash of the id); the field is fitted on windows around at most TOXIC_WINDOWS toxic tokens and around CLEAN_WINDOWS places, both
+The sample is trained on in one task. Training rows: crc32(doc_id as text) mod 5 is not 0. The sample is bounded by TRAIN_DOCS documents and
+TRAIN_BYTES of text, both as expected values (rows are chosen by hash, each as a whole, so one very long text may exceed them); the field is fitted on windows around at most TOXIC_WINDOWS toxic tokens and around CLEAN_WINDOWS places, both
 seeded random choices of the sample's tokens. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without toxic tokens; rows are scored each, repeated or not; documents
