@@ -27,6 +27,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from stringloom.llm import common
 from stringloom.llm.words import Words, mix, slices
 
 FOLDS, TRAIN_DOCS, TRAIN_BYTES = 5, 6_000, 16_000_000
+HASH_PARTS = 8
 TABLE, WINDOW, STEPS, CLEAN_WINDOWS, TOXIC_WINDOWS, ROUNDS, FLOOR, SEED = 1 << 20, 6, 200, 24_000, 8_000, 4, 0.05, 5
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -142,28 +144,30 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(x @ self.doc, -50, 50)))
 
 
-def toxic_features(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Sorted features that mark toxic documents beyond chance; a template at a time, to bound the memory."""
-    there = np.unique(doc)
+def toxic_features(hashes: np.ndarray, unit: np.ndarray, label: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Sorted features that mark toxic units (of label 1) beyond chance, from the open tokens; a template and a range of hashes at a time,
+    to bound the memory."""
+    there = np.unique(unit[open_])
     base = min(max(label[there].mean() if len(there) else 0.5, 1e-3), 0.999)
     n, kept, gains = 2, [], []
-    for h in hashes:
-        d = doc[h != 0]
-        h = h[h != 0]
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
-        names, at = np.unique(h, return_inverse=True)
-        a = np.bincount(at, label[d] == 1, len(names))
-        b = np.bincount(at, label[d] == 0, len(names))
-        share = a / np.maximum(1, a + b)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = a * np.log(np.maximum(share, 1e-12) / base) + np.where(b > 0, b * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
-        n += len(names)
-        kept.append(names[share > 0.8])
-        gains.append(gain[share > 0.8])
+    for row in hashes:
+        for part in range(HASH_PARTS):
+            at = np.flatnonzero(open_ & (row != 0) & (row % np.uint64(HASH_PARTS) == part))
+            h, d = row[at], unit[at]
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            h, d = h[new], d[new]
+            names, at = np.unique(h, return_inverse=True)
+            a = np.bincount(at, label[d] == 1, len(names))
+            b = np.bincount(at, label[d] == 0, len(names))
+            share = a / np.maximum(1, a + b)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = a * np.log(np.maximum(share, 1e-12) / base) + np.where(b > 0, b * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
+            n += len(names)
+            kept.append(names[share > 0.8])
+            gains.append(gain[share > 0.8])
     return np.sort(np.concatenate(kept)[np.concatenate(gains) > math.log(n) + 2])
 
 
@@ -214,20 +218,25 @@ def train(texts: list[str], labels: list[int]) -> Field:
     if not len(label) or label.min() == label.max():
         return field
     column = pa.array(texts, pa.string())
-    hashes, doc, group = [], [], []
+    # room for as many tokens as the bytes allow; only what is written takes memory
+    room = (pc.sum(pc.binary_length(column)).as_py() or 0) // 2 + len(column)
+    hashes, doc, group, n = np.empty((_TEMPLATES, room), np.uint64), np.empty(room, np.int32), [], 0
     for lo, hi in slices(column):
         words = Words(column.slice(lo, hi - lo))
-        hashes.append(features(words))
-        doc.append(words.doc + lo)
+        m = n + len(words.starts)
+        hashes[:, n:m] = features(words)
+        doc[n:m] = words.doc + lo
         group.append(likenesses(words))
-    hashes, doc, group = np.concatenate(hashes, axis=1), np.concatenate(doc), np.concatenate(group, axis=1)
+        n = m
+    hashes, doc, group = hashes[:, :n], doc[:n], np.concatenate(group, axis=1)
     units, unit = np.unique(clusters(group) * 2 + label, return_inverse=True)
-    y = np.zeros(len(doc), np.int64)
+    unit = unit.astype(np.int32)[doc]
+    y = np.zeros(len(doc), np.int8)
     for _ in range(ROUNDS):
         # the clean documents, and the toxic ones that no marked token explains yet: fewer, so that rarer features stand out
         explained = np.bincount(doc, y, len(label)) > 0
         open_ = ~explained[doc]
-        marks = toxic_features(hashes[:, open_], unit[doc[open_]], units & 1)
+        marks = toxic_features(hashes, unit, units & 1, open_)
         found = holds(marks, hashes) & (label[doc] == 1) & (y == 0)
         if not found.any():
             break
