@@ -23,6 +23,7 @@ import os
 import re
 import uuid
 from array import array
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 
 from stringloom.llm import common
 from stringloom.llm.files import get, pack, put, unpack
+from stringloom.llm.words import slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A chunk ends on average after 2 ** CHUNK_BITS bytes.
 CHUNK_BITS = 9
 #: Pieces (words with their blank) whose ids a worker remembers: up to twice as many, the older half only until the next change.
 MEMORY_PIECES = 150_000
+#: Bytes of text worked on at once; a longer text is worked on alone.
+PART_BYTES = 1 << 18
 #: Stretches in a file of the store, about.
 SHARD_STRETCHES = 500_000
 _ODD = re.compile(r"\s\s|\s\Z|\x00")
@@ -62,19 +66,24 @@ class ChunkEncoder:
     """Encodes and decodes whole texts; ids are little-endian unsigned 32-bit."""
 
     def __init__(self, path: str = TOKENIZER, bits: int = CHUNK_BITS):
-        os.environ["RAYON_NUM_THREADS"] = "1"
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.bits = bits
+        self.path, self.bits = path, bits
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.reused = self.encoded = 0
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when first asked for: cutting texts needs none."""
+        os.environ["RAYON_NUM_THREADS"] = "1"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -229,11 +238,11 @@ def _shard(k1: np.ndarray, n: int) -> np.ndarray:
 
 
 def _rows(batch):
-    """(ids with null as -1, texts with null as empty) of a batch, a part at a time, and where the part begins."""
+    """(ids with null as -1, texts with null as empty) of a batch, a part of at most PART_BYTES (or one row) at a time, and where the part begins."""
     names = batch.schema.names
     ids, texts = batch.column(names.index("doc_id")), batch.column(names.index("text"))
-    for lo in range(0, batch.num_rows, 512):
-        yield lo, [-1 if i is None else i for i in ids.slice(lo, 512).to_pylist()], [t or "" for t in texts.slice(lo, 512).to_pylist()]
+    for lo, hi in slices(texts, PART_BYTES):
+        yield lo, [-1 if i is None else i for i in ids.slice(lo, hi - lo).to_pylist()], [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
 
 
 SENT = "shard long, data binary"
