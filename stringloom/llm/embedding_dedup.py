@@ -1,18 +1,23 @@
 """Operator 7: embedding near-dedup by a forest of random-projection trees.
 
-Vectors of one label are compared. Each of TREES trees splits unit vectors along random directions, at the median of a bounded sample.
-A vector within SPILL of a split goes to both sides, so that near pairs rarely part. Trees are grown level by level on the cluster: the
-first on SAMPLE rows (or SAMPLE_BYTES), then one for each leaf that holds more than REFIT rows, on a sample of that leaf's rows, until
-no leaf is larger or its rows are too dense to part. Every row is indexed; a tree is thresholds and seeds of directions, so it is small
-whatever the dimension, and only the first level's, of bounded number, are sent to all workers; the others are joined by leaf.
+Vectors of one label (and length) are compared. A tree splits unit vectors along random directions, at the median of a sample; a vector
+near a split goes to both sides, so that near pairs rarely part. Above stands one tree for each label, which cuts it into cells that a
+task holds in memory (REFIT rows and CELL_BYTES at most); within a cell TREES trees go on down to leaves of LEAF rows, whose vectors are
+compared in double precision. Only cells are written to disk: a row is sent once for each of its cells (about 1.1 a level of the upper
+tree, UPPER_COPIES at most by the sample), with its vector as it came (float or double); the leaves of the trees below, many more, never
+leave a worker's memory.
 
-Within a leaf (and label) vectors are compared in blocks of BLOCK rows with BLOCK rows in double precision, so a large leaf is many
-tasks' work and never one. A pair of several leaves is counted in the first of its common leaves alone, which is read off the rows' own
-lists of leaves. A pair of blocks gives a count of links for each row and a forest of the components it joins, never its pairs.
+The upper tree is grown on SAMPLE rows (or SAMPLE_BYTES) of all labels, then on a sample of every cell that is still too large, until
+none is or its rows are too dense to part. It is thresholds and seeds of directions, one node a cell, and goes to all workers; beyond
+NODES nodes no more are added. A cell that stays too large is cut into blocks: files in the shared folder, written once, of which every
+pair is a task, so a large cell is many tasks' work and never one. Every row is indexed.
 
-Equal vectors of a label are one class, known by the vector itself; a class of m vectors has m - 1 links inside, and each link to
-another class counts with that class's size. A pair is found if some leaf of some tree holds both; at cosine >= 0.98 recall is measured
-in the tests (at least 0.9 asked).
+A pair of several leaves is counted in the first of its common leaves alone, and in the first of its common cells, which is read off the
+rows' own lists of cells. A cell gives a count of links for each row and a forest of the components it joins, never its pairs.
+
+Equal vectors of a label are one class, known by a digest of the vector; a class of m vectors has m - 1 links inside, and each link to
+another class counts with that class's size. A pair is found if some leaf holds both; at cosine >= 0.98 recall is measured in the tests
+(at least 0.9 asked).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing;
 rows with the same vec_id are one node, with the links of all its vectors, and are not each other's link; a row without vec_id has a null
@@ -20,18 +25,30 @@ component and is kept; vectors of different lengths are never compared; an empty
 """
 from __future__ import annotations
 
-import pickle
+import contextlib
+import hashlib
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.llm import common
+from stringloom.llm.files import get, pack, put, unpack
+from stringloom.llm.words import mix
 
 COSINE, TREES, SAMPLE, LEAF, SPILL, BLOCK, SEED = 0.98, 4, 50_000, 256, 0.035, 512, 11
-#: Bytes of vectors that the first trees are grown on; a leaf of more than REFIT rows is split again, on REFIT_SAMPLE of them.
-SAMPLE_BYTES, REFIT, REFIT_SAMPLE, LEVELS = 64_000_000, 4_096, 4_096, 6
+#: Bytes of vectors that upper trees are grown on; a cell of more than REFIT rows (or CELL_BYTES) is split again, on REFIT_SAMPLE of them.
+SAMPLE_BYTES, REFIT, REFIT_SAMPLE, LEVELS = 64_000_000, 65_536, 4_096, 6
+#: Bytes of a cell's vectors in double precision; nodes of the upper trees.
+CELL_BYTES, NODES = 1 << 25, 100_000
+#: The most spill times the square root of the dimension, with which projections narrow (near pairs' differences, too).
+NARROW_SPILL = 0.16
+#: Times that rows may be in an upper tree (on disk) and in a tree within a cell, by its sample; what can't be parted so is compared whole.
+UPPER_COPIES, INNER_COPIES = 3.0, 16.0
 
 
 def unit(lists: list) -> list:
@@ -51,37 +68,66 @@ def unit(lists: list) -> list:
     return out
 
 
+def _units(column: pa.Array) -> list:
+    """unit() of an Arrow column of lists, many rows at once where they are alike."""
+    flat, n = column.flatten(), len(column)
+    dim = len(flat) // n if n else 0
+    if n and dim and not column.null_count and not flat.null_count and (np.diff(column.offsets.to_numpy()) == dim).all():
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        good = np.isfinite(norm) & (norm > 1e-100)
+        return [x[i] / norm[i] if good[i] else unit([x[i]])[0] for i in range(n)]
+    return unit(column.to_pylist())
+
+
 class Tree:
-    """Nodes of a tree in arrays: seed of the direction, threshold, children (negative: leaf)."""
+    """Nodes of a tree in arrays: seed of the direction, threshold, children (negative: leaf).
+
+    rows: those of the sample by leaf. copies: how often a row is there, on the way to each leaf; no split takes that beyond most.
+    """
 
-    def __init__(self, sample: np.ndarray, seed: int, leaf: int = LEAF):
-        self.leaf, self.seed, self.dim = leaf, seed, sample.shape[1]
+    def __init__(self, sample: np.ndarray, seed: int, leaf: int = LEAF, spill: float = SPILL, most: float = INNER_COPIES, copies: float = 1.0):
+        self.leaf, self.seed, self.dim, self.spill = leaf, seed, sample.shape[1], spill
         self.at: list[float] = []
         self.child: list[list[int]] = []
-        self.leaves = 0
-        self.root = self._grow(sample, np.arange(len(sample)), 0)
+        self.rows: list[np.ndarray] = []
+        self.most, self.copies = most, []
+        self._known: dict[int, np.ndarray] = {}
+        self.root = self._grow(sample, np.arange(len(sample)), 0, copies)
 
     def direction(self, node: int) -> np.ndarray:
-        x = np.random.default_rng((self.seed, node)).normal(size=self.dim)
-        return x / np.linalg.norm(x)
-
-    def _grow(self, x, rows, depth) -> int:
+        if node not in self._known:
+            if len(self._known) * self.dim > 1 << 19:
+                self._known.clear()
+            x = np.random.default_rng((self.seed, node)).normal(size=self.dim)
+            self._known[node] = x / np.linalg.norm(x)
+        return self._known[node]
+
+    def _grow(self, x, rows, depth, copies) -> int:
         if len(rows) <= self.leaf or depth > 40:
-            return self._leaf()
+            return self._leaf(rows, copies)
         node = len(self.at)
-        p = x[rows] @ self.direction(node)
+        p = x[rows] @ self.direction(node).astype(x.dtype)
         at = float(np.median(p))
-        left, right = rows[p <= at + SPILL], rows[p > at - SPILL]
-        if max(len(left), len(right)) > 0.95 * len(rows):  # so dense that the spill takes nearly all along: blocks do the rest
-            return self._leaf()
+        left, right = rows[p <= at + self.spill], rows[p > at - self.spill]
+        below = copies * (len(left) + len(right)) / len(rows)
+        if below > self.most or max(len(left), len(right)) > 0.95 * len(rows):  # so dense that the spill takes too many along: blocks do the rest
+            return self._leaf(rows, copies)
         self.at.append(at)
         self.child.append([0, 0])
-        self.child[node] = [self._grow(x, left, depth + 1), self._grow(x, right, depth + 1)]
+        self.child[node] = [self._grow(x, left, depth + 1, below), self._grow(x, right, depth + 1, below)]
         return node
 
-    def _leaf(self) -> int:
-        self.leaves += 1
-        return -self.leaves
+    def _leaf(self, rows, copies) -> int:
+        self.rows.append(rows)
+        self.copies.append(copies)
+        return -len(self.rows)
+
+    def light(self) -> Tree:
+        """Without what only growing needs."""
+        self.rows, self.copies, self._known = [], [], {}
+        return self
 
     def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that a row of x reaches."""
@@ -95,113 +141,202 @@ class Tree:
                 leaves.append(np.full(len(at), -node, np.int64))
                 continue
             p = x[at] @ self.direction(node)
-            todo.append((self.child[node][0], at[p <= self.at[node] + SPILL]))
-            todo.append((self.child[node][1], at[p > self.at[node] - SPILL]))
+            todo.append((self.child[node][0], at[p <= self.at[node] + self.spill]))
+            todo.append((self.child[node][1], at[p > self.at[node] - self.spill]))
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _prepare():
+def _prepare(kind: str, whole: bool):
+    """Rows to vec_id, label, h and, if whole, v: the vector's bytes, as floats or (kind <f8) its unit vector; h is their digest."""
+
     @common.freeing
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            vectors = unit(batch.column(names.index("embedding")).to_pylist())
-            data = [None if v is None else v.tobytes() for v in vectors]
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("vec_id")), batch.column(names.index("label")), pa.array(data, pa.binary())], names=["vec_id", "label", "v"])
+            column = batch.column(names.index("embedding"))
+            vectors = _units(column)
+            if kind == "<f4":
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())])
+                data = [None if v is None else (flat[ends[i] : ends[i + 1]].astype("<f4") + np.float32(0)).tobytes() for i, v in enumerate(vectors)]
+            else:
+                data = [None if v is None else (v + 0.0).tobytes() for v in vectors]
+            keys = [None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data]
+            out = [batch.column(names.index("vec_id")), batch.column(names.index("label")), pa.array(keys, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out[: 3 + whole], names=["vec_id", "label", "h", "v"][: 3 + whole])
 
     return run
 
 
-def _matrix(data: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _matrix(data: list[bytes], kind: str = "<f8", n: int | None = None) -> np.ndarray:
+    """Unit vectors in double precision; n: how many, if not as many as data."""
+    x = np.frombuffer(b"".join(data), kind).reshape(len(data) if n is None else n, -1)
+    if kind == "<f8":
+        return x
+    x = x.astype(np.float64)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
-def _new_leaf(above: int, tree: int, leaf: np.ndarray) -> np.ndarray:
-    """The number of a leaf of a tree that parts the leaf `above`: a hash, so that levels need no common counter."""
-    from stringloom.llm.words import mix
-
+def _below(above: int, tree: int, leaf: np.ndarray) -> np.ndarray:
+    """The number of a leaf of a tree that parts the cell `above`: a hash, so that levels need no common counter."""
     return mix(mix(np.full(len(leaf), above, np.int64).view(np.uint64) ^ np.uint64(tree + 1)) + leaf.astype(np.uint64)).view(np.int64)
 
 
-def _grown(seed: int):
-    """Rows (leaf, trees, rows, v) of a sample, sorted by leaf, to one row a leaf: its trees."""
+def _cells_of(x: np.ndarray, first: np.ndarray, trees: dict[int, list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of vectors of one length for every cell that they reach from their first ones."""
+    done, rows, cells = [], np.arange(len(x)), first
+    while len(rows):
+        known = np.unique(cells)
+        split = np.array([c for c in known.tolist() if c in trees], np.int64)
+        more = np.isin(cells, split)
+        done.append((rows[~more], cells[~more]))
+        next_ = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for c in split.tolist():
+            at = rows[cells == c]
+            for t, tree in enumerate(trees[c]):
+                below, leaf = tree.leaves_of(x[at])
+                next_.append((at[below], _below(c, t, leaf)))
+        rows, cells = np.concatenate([r for r, _ in next_]), np.concatenate([c for _, c in next_])
+    return np.concatenate([r for r, _ in done]), np.concatenate([c for _, c in done])
+
+
+def _each_cell(trees: dict[int, list[Tree]], kind: str):
+    """For batches (cid, first cell, v, ...): places in the batch and their cells."""
+
+    def places(batch):
+        first, data = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        sizes = np.array([len(d) for d in data])
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            rows, cells = _cells_of(_matrix([data[i] for i in at], kind), first[at], trees)
+            yield at[rows], cells
 
-    def grow(leaf, trees, n, data):
-        x = _matrix(sorted(data))
-        least = max(8, min(LEAF, LEAF * len(x) // max(1, n)))
-        made = [Tree(x, (seed * 1000 + t) ^ (leaf & 0xFFFFFFFF), least) for t in range(trees)]
-        return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps(made)], pa.binary())], names=["leaf", "trees"])
+    return places
+
+
+def _number(trees: dict[int, list[Tree]], kind: str):
+    """Batches (cid, first cell, v) to rows and bytes by cell."""
 
     @common.freeing
     def run(batches):
-        now, held = None, []
+        counts: dict[int, int] = {}
         for batch in batches:
-            for leaf, trees, n, v in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if now is not None and now[0] != leaf:
-                    yield grow(*now, held)
-                    held = []
-                now = (leaf, trees, n)
-                held.append(v)
-        if now is not None:
-            yield grow(*now, held)
+            for _, cells in _each_cell(trees, kind)(batch):
+                for c, n in zip(*(a.tolist() for a in np.unique(cells, return_counts=True))):
+                    counts[c] = counts.get(c, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["cell", "n"])
 
     return run
 
 
-def _place(known: dict[int, bytes] | None):
-    """Rows (cid, leaf, v, trees or null) to (cid, leaf) below; known: the trees by leaf, if they are not in the rows."""
+def _sampled(trees: dict[int, list[Tree]], kind: str, wanted: dict[int, float], seed: int):
+    """Batches (cid, first cell, v) to (cell, v) of samples: the share of a cell's rows that is wanted, by a hash of the vector."""
 
     @common.freeing
     def run(batches):
-        opened: dict[int, list[Tree]] = {}
         for batch in batches:
-            cids, leaves = batch.column(0), batch.column(1).to_numpy()
-            data = batch.column(2).to_pylist()
-            for leaf in np.unique(leaves).tolist():
-                at = np.flatnonzero(leaves == leaf)
-                if leaf not in opened:
-                    if len(opened) > 64:
-                        opened.clear()
-                    opened[leaf] = pickle.loads(known[leaf] if known is not None else batch.column(3)[int(at[0])].as_py())
-                x = _matrix([data[i] for i in at])
-                for t, tree in enumerate(opened[leaf]):
-                    rows, below = tree.leaves_of(x)
-                    yield pa.RecordBatch.from_arrays([cids.take(pa.array(at[rows])), pa.array(_new_leaf(leaf, t, below))], names=["cid", "leaf"])
+            chance = np.array([zlib.crc32(v, seed) for v in batch.column(2).to_pylist()]) / 2.0**32
+            for rows, cells in _each_cell(trees, kind)(batch):
+                some = np.flatnonzero(chance[rows] < np.array([wanted.get(c, 0.0) for c in cells.tolist()]))
+                yield pa.RecordBatch.from_arrays([pa.array(cells[some], pa.int64()), batch.column(2).take(pa.array(rows[some]))], names=["cell", "v"])
 
     return run
 
 
-def _leaves(classes: DataFrame, trees: int, seed: int) -> DataFrame:
-    """(cid, leaf) for every leaf of every tree that a class reaches; classes: cid, v."""
-    spark = classes.sparkSession
-    # a leaf to begin with for each dimension
-    rows = classes.select("cid", F.octet_length("v").cast("long").alias("leaf"), "v")
-    sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1_000).collect()}
-    if not sizes:
-        return classes.select("cid", F.lit(0).cast("long").alias("leaf"))
-    firsts = spark.createDataFrame([(leaf, n, min(SAMPLE, max(1_000, SAMPLE_BYTES // leaf))) for leaf, n in sizes.items()], "leaf long, n long, most long")
-    chosen = rows.join(F.broadcast(firsts), "leaf").where(F.pmod(F.xxhash64("v", F.lit(seed)), F.col("n")) < F.col("most"))
-    chosen = chosen.select("leaf", F.lit(trees).alias("trees"), "n", "v").repartition(min(len(sizes), common.partitions(spark)), "leaf").sortWithinPartitions("leaf")
-    first = {r["leaf"]: bytes(r["trees"]) for r in chosen.mapInArrow(_grown(seed), "leaf long, trees binary").toLocalIterator()}
-    rest = rows.where(~F.col("leaf").isin(list(first)))  # dimensions beyond the thousand most frequent: one leaf each
-    placed = rows.where(F.col("leaf").isin(list(first))).select("cid", "leaf", "v").mapInArrow(_place(first), "cid long, leaf long")
-    done = common.stage(placed.unionByName(rest.select("cid", "leaf")), "leaves")
-    out, before = None, None
+def _most(dim: int) -> int:
+    """Rows of a cell."""
+    return max(1, min(REFIT, CELL_BYTES // (8 * dim)))
+
+
+def _upper(rows: DataFrame, trees: int, seed: int, kind: str, firsts: dict[int, tuple[int, int]]) -> tuple[dict[int, list[Tree]], dict[int, int]]:
+    """The trees by the cell that they part, and the blocks of the cells that stay too large.
+
+    rows: cid, first cell, v; firsts: rows and length of the first cells that are too large.
+    """
+    grown: dict[int, list[Tree]] = {}
+    dims, large, dense, nodes = {c: d for c, (_, d) in firsts.items()}, {c: n for c, (n, _) in firsts.items()}, set(), 0
+    copies = dict.fromkeys(firsts, 1.0)
+    rows = rows.select("cid", "first", "v").where(F.col("first").isin(list(firsts)))
     for level in range(LEVELS):
-        big = common.stage(done.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > REFIT), "large-leaves")
-        found = big.agg(F.count("*").alias("k"), F.max("n").alias("top")).first()
-        if not found["k"] or (found["k"], found["top"]) == before:
+        todo = [c for c in sorted(large, key=lambda c: (-large[c], c)) if c not in dense]
+        if not todo or nodes >= NODES:
             break
-        before = found["k"], found["top"]
-        rows = done.join(big, "leaf").join(classes.select("cid", "v"), "cid")
-        part = rows.where(F.pmod(F.xxhash64("v", F.lit(seed + level + 1)), F.col("n")) < REFIT_SAMPLE)
-        part = part.select("leaf", F.lit(1).alias("trees"), "n", "v").repartition(common.partitions(spark), "leaf").sortWithinPartitions("leaf")
-        grown = common.stage(part.mapInArrow(_grown(seed + level + 1), "leaf long, trees binary"), "trees")
-        below = rows.select("cid", "leaf", "v").join(grown, "leaf").select("cid", "leaf", "v", "trees").mapInArrow(_place(None), "cid long, leaf long")
-        small = done.join(big.select("leaf"), "leaf", "left_anti")
-        out = small if out is None else out.unionByName(small)
-        done = common.stage(below, "leaves")
-    return done if out is None else out.unionByName(done)
+        sample = min(SAMPLE, max(1_000, SAMPLE_BYTES // (8 * max(dims[c] for c in todo))))
+        todo = todo[: max(1, sample // 64)]
+        total = sum(large[c] for c in todo)
+        wanted = {c: max(64 / large[c], (sample if level == 0 else min(sample, REFIT_SAMPLE * len(todo))) / total) for c in todo}
+        held: dict[int, list[bytes]] = {}
+        for r in rows.mapInArrow(_sampled(grown, kind, wanted, seed + level), "cell long, v binary").toLocalIterator():
+            held.setdefault(r["cell"], []).append(bytes(r["v"]))
+        for c in todo:
+            x, dim = _matrix(sorted(held.get(c, [])), kind) if c in held else np.zeros((0, 1)), dims[c]
+            least = max(8, int(0.7 * _most(dim) * len(x) / large[c]))
+            made = [Tree(x, ((seed + level) * 1000 + t) ^ (c & 0xFFFFFFFF), least, min(SPILL, NARROW_SPILL / dim**0.5), UPPER_COPIES, copies[c]) for t in range(trees if c in firsts else 1)]
+            if not any(t.at for t in made):
+                dense.add(c)
+                continue
+            grown[c] = made
+            for t, tree in enumerate(made):
+                nodes += len(tree.at)
+                below = _below(c, t, np.arange(1, len(tree.rows) + 1)).tolist()
+                dims |= dict.fromkeys(below, dim)
+                copies |= dict(zip(below, tree.copies))
+                tree.light()
+        counted = rows.mapInArrow(_number(grown, kind), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        large = {r["cell"]: r["n"] for r in counted.where(F.col("n") > min(map(_most, set(dims.values())))).collect() if r["n"] > _most(dims[r["cell"]])}
+    return grown, {c: -(-n // _most(dims[c])) for c, n in large.items()}
+
+
+def _placed(trees: dict[int, list[Tree]], kind: str, blocks: dict[int, int], seed: int):
+    """Batches (cid, first cell, v, ...) to a row for each cell: cell, block, all cells of the row, cid, v, ..."""
+
+    @common.freeing
+    def run(batches):
+        for batch in batches:
+            for rows, cells in _each_cell(trees, kind)(batch):
+                order = np.lexsort((cells, rows))
+                rows, cells = rows[order], cells[order]
+                start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                size = np.diff([*start, len(rows)])
+                # the list of cells of a row, for each of its cells
+                many = np.repeat(size, size)
+                where = np.repeat(start, size)
+                ends = np.cumsum(many)
+                lists = cells[np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(where, many)]
+                lists = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(lists, pa.int64()))
+                at = pa.array(rows)
+                block = np.zeros(len(rows), np.int64)
+                if blocks:
+                    many_of = np.array([blocks.get(c, 1) for c in cells.tolist()], np.uint64)
+                    block = (mix(batch.column(0).to_numpy()[rows].astype(np.uint64) + np.uint64(seed)) % many_of).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.int64()), pa.array(block, pa.int64()), lists, *(batch.column(i).take(at) for i in (0, 2, *range(3, batch.num_columns)))],
+                    names=["cell", "block", "cells", "cid", "v", *batch.schema.names[3:]],
+                )
+
+    return run
+
+
+def _rows_of(classes: DataFrame) -> DataFrame:
+    """cid, first (a number for each label and length: the cell to begin with), v, and size and marked where there are any."""
+    label = [F.col("label")] if "label" in classes.columns else []
+    return classes.select("cid", F.xxhash64(*label, F.octet_length("v")).alias("first"), "v", *(c for c in ("size", "marked") if c in classes.columns))
+
+
+def _forest(classes: DataFrame, trees: int, seed: int, kind: str = "<f8") -> tuple[DataFrame, dict[int, list[Tree]], dict[int, int]]:
+    """The rows of classes, the upper trees and the blocks of cells that stay too large."""
+    rows, width = _rows_of(classes), int(kind[2:])
+    sizes = rows.groupBy("first").agg(F.count("*").alias("n"), F.max(F.octet_length("v")).alias("size"))
+    sizes = sizes.where(F.col("n") > F.greatest(F.lit(1), F.least(F.lit(REFIT), F.floor(F.lit(CELL_BYTES * width // 8) / F.col("size"))))).orderBy(F.desc("n"), "first").limit(NODES)
+    return rows, *_upper(rows, trees, seed, kind, {r["first"]: (r["n"], r["size"] // width) for r in sizes.collect()})
+
+
+def _leaves(classes: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(cid, leaf) for every cell of every upper tree that a class reaches; classes: cid, v."""
+    rows, grown, _ = _forest(classes, trees, seed)
+    out = rows.mapInArrow(_placed(grown, "<f8", {}, seed), "cell long, block long, cells array<long>, cid long, v binary")
+    return common.stage(out.select("cid", F.col("cell").alias("leaf")), "leaves")
 
 
 def _spans(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -221,79 +356,230 @@ def _spans(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(cosine: float):
-    """Rows sorted by group (label, leaf, i, j) to counts and links; a group is block i of a leaf against block j.
-
-    A row (a, null, n): class a has links to n vectors here that no earlier leaf of both counts. A row (a, b, null) is a link of the
-    group's forest. A row (a, b, 0) is a link, to be counted, of which a class holds a vec_id that stands on several vectors.
-    """
-
-    def group(key, cid, side, size, marked, v, leaves):
-        same = key[2] == key[3]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-        if not len(left) or not len(right):
-            return
-        linked = _matrix([v[k] for k in left]) @ _matrix([v[k] for k in right]).T >= cosine
-        linked &= cid[left][:, None] != cid[right][None]
-        if not linked.any():
-            return
-        forest = _spans(linked)
-        # earlier leaves that both have: a product of the rows' leaves as tables
-        earlier = [np.array([x for x in leaves[k] if x < key[1]], np.int64) for k in range(len(cid))]
-        names = np.unique(np.concatenate(earlier))
-        if len(names):
-            table = np.zeros((len(cid), len(names)), np.float32)
-            for k, x in enumerate(earlier):
-                table[k, np.searchsorted(names, x)] = 1
-            linked &= table[left] @ table[right].T == 0
-        out_a, out_b, out_n = [cid[left[r]] for r, _ in forest], [cid[right[c]] for _, c in forest], [None] * len(forest)
-        i, j = np.nonzero(linked & (marked[left][:, None] | marked[right][None]))
-        for a, b in zip(cid[left[i]].tolist(), cid[right[j]].tolist()):
-            out_a += [a] if same else [a, b]
-            out_b += [b] if same else [b, a]
-            out_n += [0] if same else [0, 0]
-        counts = [(left, linked @ size[right])] + ([] if same else [(right, size[left] @ linked)])
-        for who, n in counts:
-            some = np.flatnonzero(n)
-            out_a += cid[who[some]].tolist()
-            out_b += [None] * len(some)
-            out_n += n[some].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b, out_n)], names=["a", "b", "n"])
+def _leaves_by_row(leaves: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of the leaves (by number) of n rows: values, and where each list begins (and the last ends)."""
+    leaf, row = np.repeat(np.arange(len(leaves)), [len(r) for r in leaves]), np.concatenate(leaves)
+    order = np.argsort(row, kind="stable")
+    return leaf[order], np.searchsorted(row[order], np.arange(n + 1))
+
+
+def _common(values: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, below: int) -> np.ndarray | None:
+    """Which of rows a and b have a common value less than below, in lists values[start[i]:start[i + 1]]; None if no row has one."""
+
+    def table(rows):
+        size = start[rows + 1] - start[rows]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start[rows], size)
+        keep = values[at] < below
+        return np.repeat(np.arange(len(rows)), size)[keep], values[at][keep]
+
+    (ra, va), (rb, vb) = table(a), table(b)
+    names = np.intersect1d(va, vb)
+    if not len(names):
+        return None
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(names), 4_096):
+        part = names[lo : lo + 4_096]
+        tables = []
+        for r, v, n in ((ra, va, len(a)), (rb, vb, len(b))):
+            at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[at] == v
+            t = np.zeros((n, len(part)), np.float32)
+            t[r[hit], at[hit]] = 1
+            tables.append(t)
+        out += tables[0] @ tables[1].T
+    return out > 0
+
+
+class _Joins:
+    """Components of rows, and the links that made them."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.made: list[tuple[int, int]] = []
+
+    def top(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.top(a), self.top(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.made.append((a, b))
+
+
+def _links(x: np.ndarray, cid, size, marked, block, cells: tuple[np.ndarray, np.ndarray], cell: int, how: tuple):
+    """The links of a cell's rows; if they are of two blocks, only those between them. Gives a batch (a, b, n), as _compare says."""
+    cosine, trees, seed, least, width = how
+    n, narrow = len(x), x.astype(np.float32)
+    two = bool((block != block[0]).any())
+    leaves, spill = [], min(SPILL, NARROW_SPILL / x.shape[1] ** 0.5)
+    for t in range(trees):
+        grown = Tree(narrow, seed * 1000 + t, least, spill).rows
+        leaves = grown if len(grown) == 1 else leaves + grown
+        if len(grown) == 1:  # it holds all rows, and so all pairs
+            break
+    held = _leaves_by_row(leaves, n)
+    joins, counts, both = _Joins(n), np.zeros(n, np.int64), ([], [])
+    for k, leaf in enumerate(leaves):
+        left, right = (leaf[block[leaf] == block[0]], leaf[block[leaf] != block[0]]) if two else (leaf, leaf)
+        for lo in range(0, len(left), width):
+            for at in range(0 if two else lo, len(right), width):
+                a, b = left[lo : lo + width], right[at : at + width]
+                near = narrow[a] @ narrow[b].T >= cosine - 1e-4  # then in double precision what may be a link
+                if not two:
+                    near &= a[:, None] < b[None]
+                if not near.any():
+                    continue
+                a, b = a[near.any(axis=1)], b[near.any(axis=0)]
+                linked = x[a] @ x[b].T >= cosine
+                if not two:
+                    linked &= a[:, None] < b[None]
+                a, b, linked = a[linked.any(axis=1)], b[linked.any(axis=0)], linked[linked.any(axis=1)][:, linked.any(axis=0)]
+                for lists, before in ((held, k), (cells, cell)):
+                    if linked.any() and (seen := _common(*lists, a, b, before)) is not None:
+                        linked &= ~seen
+                if not linked.any():
+                    continue
+                apart = linked & (np.array([joins.top(i) for i in a.tolist()])[:, None] != np.array([joins.top(i) for i in b.tolist()])[None])
+                for r, c in _spans(apart) if apart.any() else ():
+                    joins.add(int(a[r]), int(b[c]))
+                np.add.at(counts, a, linked @ size[b])
+                np.add.at(counts, b, size[a] @ linked)
+                if marked[a].any() or marked[b].any():
+                    i, j = np.nonzero(linked & (marked[a][:, None] | marked[b][None]))
+                    both[0].extend(cid[a[i]].tolist() + cid[b[j]].tolist())
+                    both[1].extend(cid[b[j]].tolist() + cid[a[i]].tolist())
+    some = np.flatnonzero(counts)
+    out_a = [*(int(cid[a]) for a, _ in joins.made), *both[0], *cid[some].tolist()]
+    out_b = [*(int(cid[b]) for _, b in joins.made), *both[1], *[None] * len(some)]
+    out_n = [*[None] * len(joins.made), *[0] * len(both[0]), *counts[some].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_a, out_b, out_n)], names=["a", "b", "n"])
+
+
+def _lists(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as values and where each begins (and the last ends)."""
+    return np.concatenate(cells), np.concatenate([[0], np.cumsum([len(c) for c in cells])])
+
+
+def _cells(run_cell):
+    """Rows (cell, block, cells, cid, v, size, marked) sorted by cell and block, to what run_cell gives of a group's columns."""
 
     @common.freeing
     def run(batches):
         held, key = [], None
 
         def flush():
-            cid, side, size, marked = (np.concatenate([h[i] for h in held]) for i in range(4))
-            yield from group(key, cid, side, size, marked, [v for h in held for v in h[4]], [x for h in held for x in h[5]])
+            cid, size, marked = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return run_cell(*key, cid, size, marked, [v for h in held for v in h[3]], _lists([c for h in held for c in h[4]]))
 
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], 1)
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1)], 1)
             if not len(keys):
                 continue
-            cid, side, size, marked = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6, 7))
-            v, leaves = batch.column(8).to_pylist(), batch.column(9).to_pylist()
+            cid, size, marked = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 5, 6))
+            v, offsets, flat = batch.column(4).to_pylist(), batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            lists = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 here = tuple(keys[lo].tolist())
                 if here != key and held:
-                    yield from flush()
+                    yield flush()
                     held = []
                 key = here
-                held.append((cid[lo:hi], side[lo:hi], size[lo:hi], marked[lo:hi], v[lo:hi], leaves[lo:hi]))
+                held.append((cid[lo:hi], size[lo:hi], marked[lo:hi], v[lo:hi], lists[lo:hi]))
         if held:
-            yield from flush()
+            yield flush()
+
+    return run
+
+
+def _compare(how: tuple, kind: str):
+    """Rows of cells to counts and links; how: cosine, trees, seed, rows of a leaf, rows compared at once.
+
+    A row (a, null, n): class a has links to n vectors here that no earlier cell of both counts. A row (a, b, null) is a link of the
+    cell's forest. A row (a, b, 0) is a link, to be counted, of which a class holds a vec_id that stands on several vectors.
+    """
+
+    def group(cell, block, cid, size, marked, v, cells):
+        return _links(_matrix(v, kind), cid, size, marked, np.zeros(len(cid), np.int64), cells, cell, how)
+
+    return _cells(group)
+
+
+def _keep_block(folder: str, kind: str):
+    """Rows of cells that are too large for a task to files, one for each block."""
+
+    def group(cell, block, cid, size, marked, v, cells):
+        x = np.frombuffer(b"".join(v), np.uint8)
+        put(f"{folder}/{cell}-{block}", pack({"v": x, "cid": cid, "size": size, "marked": marked.astype(np.uint8), "cells": cells[0], "lengths": np.diff(cells[1])}))
+        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([block], pa.int64())], names=["cell", "block"])
+
+    return _cells(group)
+
+
+def _compare_blocks(folder: str, how: tuple, kind: str):
+    """Rows (cell, i, j) to what _compare gives, of block i and block j."""
+
+    @common.freeing
+    def run(batches):
+        for batch in batches:
+            for cell, i, j in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                parts = [unpack(get(f"{folder}/{cell}-{b}"))[0] for b in dict.fromkeys((i, j))]
+                cid, size, marked, values, lengths = (np.concatenate([p[c] for p in parts]) for c in ("cid", "size", "marked", "cells", "lengths"))
+                block = np.repeat(np.arange(len(parts)), [len(p["cid"]) for p in parts])
+                x = _matrix([p["v"].tobytes() for p in parts], kind, len(cid))
+                yield _links(x, cid, size, marked.astype(bool), block, (values, np.concatenate([[0], np.cumsum(lengths)])), cell, how)
 
     return run
 
 
+def _found(classes: DataFrame, cosine: float, trees: int, seed: int, kind: str) -> DataFrame:
+    """a, b, n as _compare says; classes: cid, label, v, size, marked."""
+    spark = classes.sparkSession
+    rows, grown, blocks = _forest(classes, 1, seed, kind)
+    placed = rows.mapInArrow(_placed(grown, kind, blocks, seed), "cell long, block long, cells array<long>, cid long, v binary, size long, marked boolean")
+    key, links, how = ["cell", "block"], "a long, b long, n long", (cosine, trees, seed, LEAF, BLOCK)
+    dealt = lambda df: df.repartition(common.partitions(spark), *key).sortWithinPartitions(*key)
+    whole = placed.where(~F.col("cell").isin(list(blocks))) if blocks else placed
+    found = common.stage(dealt(whole).mapInArrow(_compare(how, kind), links), "vector-links")
+    if not blocks:
+        return found
+    folder = f"{common.shared_dir(spark)}/{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex[:12]}"
+    kept = common.stage(dealt(placed.where(F.col("cell").isin(list(blocks)))).mapInArrow(_keep_block(folder, kind), "cell long, block long"), "cell-blocks")
+    pairs = kept.select("cell", F.col("block").alias("i")).join(kept.select("cell", F.col("block").alias("j")), "cell").where("i <= j").select("cell", "i", "j")
+    pairs = pairs.repartition(max(common.partitions(spark), min(10_000, sum(b * (b + 1) // 2 for b in blocks.values()))), "cell", "i", "j")
+    return found.unionByName(common.stage(pairs.mapInArrow(_compare_blocks(folder, how, kind), links), "block-links"))
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Meanwhile a query's shuffle files go when it ends (else when the driver happens to collect its garbage)."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    rows = common.stage(rows.mapInArrow(_prepare(), "vec_id long, label long, v binary"), "vectors")
-    real = rows.where("v is not null and label is not null and vec_id is not null").dropDuplicates(["vec_id", "label", "v"])
+    with _shuffles_go(vectors.sparkSession):
+        return _near_vectors(vectors, cosine, trees, seed)
+
+
+def _near_vectors(vectors: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame:
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
+    # vectors travel twice, once to their class and once to its cells; all else goes by a digest
+    rows = common.stage(given.mapInArrow(_prepare(kind, False), "vec_id long, label long, h binary"), "vectors")
+    usable = "h is not null and label is not null and vec_id is not null"
+    real = rows.where(usable).dropDuplicates(["vec_id", "label", "h"])
     # ids that stand on several vectors are counted by themselves: a class's size is that of its other ids
     several = common.stage(real.groupBy("vec_id").agg(F.count("*").alias("k")).where("k > 1").select("vec_id"), "several")
     any_several = not several.isEmpty()
@@ -301,31 +587,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
         real = real.join(several.withColumn("many", F.lit(True)), "vec_id", "left")
     many = F.coalesce("many", F.lit(False)) if any_several else F.lit(False)
     real = real.withColumn("many", many)
-    classes = real.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.sum((~F.col("many")).cast("long")).alias("size"), F.max("many").alias("marked"))
-    classes = common.stage(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    leaves = common.stage(_leaves(classes, trees, seed), "leaves")
-    # blocks of a leaf: as many as its rows ask for; a row's block is a hash, so no leaf is sorted or gathered
-    rows_of = leaves.join(classes.select("cid", "label", "size", "marked"), "cid")
-    sizes = rows_of.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = rows_of.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("blocks")).cast("int"))
-    lists = leaves.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # of one row: bounded by trees and spill
-    data = lists.join(classes.select("cid", "v"), "cid")
-    placed = placed.join(data, "cid").select("cid", "label", "leaf", "blocks", "block", "size", "marked", "v", "leaves")
-    placed = common.stage(placed, "placed")
-    # each pair of blocks (i <= j) is a group of its own: rows of block i on one side, of block j on the other
-    rest = ["cid", "side", "size", "marked", "v", "leaves"]
-    left = placed.withColumn("side", F.lit(0)).select("label", "leaf", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *rest)
-    right = placed.where("block > 0").withColumn("side", F.lit(1)).select("label", "leaf", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), *rest)
-    key = ["label", "leaf", "i", "j"]
-    grouped = left.unionByName(right).repartition(common.partitions(spark), *key).sortWithinPartitions(*key)
-    found = common.stage(grouped.mapInArrow(_compare(cosine), "a long, b long, n long"), "vector-links")
+    classes = real.groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.sum((~F.col("many")).cast("long")).alias("size"), F.max("many").alias("marked"))
+    data = given.mapInArrow(_prepare(kind, True), "vec_id long, label long, h binary, v binary").where(usable).groupBy("label", "h").agg(F.first("v").alias("v"))
+    classes = common.stage(classes.join(data, ["label", "h"]).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    found = _found(classes, cosine, trees, seed, kind)
     joined = common.components(found.where("b is not null").select("a", "b"))
     outside = found.where("b is null").groupBy("a").agg(F.sum("n").alias("outside"))
-    classes = classes.select("label", "v", "cid", "rep", "size").join(outside, F.col("cid") == F.col("a"), "left").drop("a")
+    classes = classes.select("label", "h", "cid", "rep", "size").join(outside, F.col("cid") == F.col("a"), "left").drop("a")
     classes = classes.join(joined, F.col("cid") == F.col("node"), "left").drop("node").withColumn("c", F.coalesce("component", "cid")).drop("component")
     classes = common.stage(classes.withColumn("n", F.col("size") + F.coalesce("outside", F.lit(0))).drop("outside", "size"), "counted")
     label = classes.groupBy("c").agg(F.min("rep").alias("least"))
-    out = rows.join(classes.select("label", "v", "cid", "c", "n"), ["label", "v"], "left").drop("label", "v")
+    out = rows.join(classes.select("label", "h", "cid", "c", "n"), ["label", "h"], "left").drop("label", "h")
     if any_several:
         out, label = _with_several(out, label, real, several, found, classes, rows)
     else:
@@ -339,7 +611,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
 
 def _with_several(out: DataFrame, label: DataFrame, real: DataFrame, several: DataFrame, found: DataFrame, classes: DataFrame, rows: DataFrame):
     """Counts and components where ids stand on several vectors: such an id counts once for whoever is linked with any of its vectors."""
-    holds = real.where("many").join(classes.select("label", "v", "cid", "c"), ["label", "v"]).select("vec_id", "cid", "c")
+    holds = real.where("many").join(classes.select("label", "h", "cid", "c"), ["label", "h"]).select("vec_id", "cid", "c")
     holds = common.stage(holds, "several-classes")
     own = holds.select("cid").distinct()
     near = found.where("b is not null and n is not null").select("a", "b")  # links of marked classes, both ways
@@ -348,7 +620,7 @@ def _with_several(out: DataFrame, label: DataFrame, real: DataFrame, several: Da
     seen = near.join(holds.select(F.col("cid").alias("b"), "vec_id"), "b").groupBy("a").agg(F.countDistinct("vec_id").alias("ids"))
     out = out.join(seen, F.col("cid") == F.col("a"), "left").drop("a")
     # for an id: the classes of its closed neighbourhood, each once
-    size = real.where("not many").join(classes.select("label", "v", "cid"), ["label", "v"]).groupBy("cid").agg(F.count("*").alias("size"))
+    size = real.where("not many").join(classes.select("label", "h", "cid"), ["label", "h"]).groupBy("cid").agg(F.count("*").alias("size"))
     around = holds.select(F.col("cid").alias("a"), F.col("vec_id").alias("id")).join(near, "a").select("id", "b").distinct()
     ones = around.join(size, F.col("b") == F.col("cid"), "left").groupBy("id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("ones"))
     others = around.join(holds.select(F.col("cid").alias("b"), "vec_id"), "b").groupBy("id").agg(F.countDistinct("vec_id").alias("others"))
