@@ -46,6 +46,7 @@ def _in_small_batches(stage):
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.small_batches(spark)
+        common.give_back(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -49,3 +49,12 @@ def test_stages_keep_columns(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_begin_with_a_collected_heap(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    corpus_pipeline.STAGES[-2][1](spark, docs, sf)
+    assert whole() > before
