@@ -18,6 +18,7 @@ from stringloom.operators import codec as ops
 from stringloom.operators import frequency, predicates
 from stringloom.operators.train import fit as fit_dictionary
 from stringloom.plans.cover import Scan
+from stringloom.sources.tables import bound_batches
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,7 @@ class Codec:
         return encoded.where(predicates.starts_with(F.col("packed"), needle, self.dictionary))
 
     def containing(self, encoded: DataFrame, pattern: bytes | str) -> DataFrame:
+        bound_batches(encoded.sparkSession)
         return encoded.where(predicates.contains(F.col(self._codes(encoded)), pattern, self.dictionary))
 
     def containing_with_scan(self, encoded: DataFrame, pattern: bytes | str, index: frequency.FrequencyIndex | None = None) -> DataFrame:

@@ -14,10 +14,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from stringloom.errors import Defect, InvalidColumn
 from stringloom.functions.dictionary import Dictionary
 from stringloom.operators.matcher import Matcher
+from stringloom.sources.tables import bound_batches
 
 
 def encode(df: DataFrame, column: str, dictionary: Dictionary, codes: str | None = "codes", packed: str | None = "packed", drop: bool = False) -> DataFrame:
     """df with the columns `codes` and `packed` (either may be None); no shuffle, streaming tables too."""
+    bound_batches(df.sparkSession)
     names = [c for c in df.columns if c not in (codes, packed) and not (drop and c == column)]
     added = ([StructField(codes, ArrayType(IntegerType(), False))] if codes else []) + ([StructField(packed, BinaryType())] if packed else [])
     schema = StructType([df.schema[n] for n in names] + added)
@@ -108,6 +110,7 @@ class Decoder:
 
 def decode(df: DataFrame, dictionary: Dictionary, codes: str = "codes", value: str = "value", kind: str = "binary") -> DataFrame:
     """df with `value` decoded from the column `codes` (lists of codes, or packed rows); kind: binary, or string for what was text."""
+    bound_batches(df.sparkSession)
     names = [c for c in df.columns if c != value]
     schema = StructType([df.schema[n] for n in names] + [StructField(value, BinaryType())])
 

@@ -18,6 +18,7 @@ from stringloom.functions.dictionary import EMPTY_RANGE, Dictionary, TokenRange
 from stringloom.operators.codec import flat_codes, pack
 from stringloom.plans.automaton import Automaton
 from stringloom.plans.cover import SET_CODES, Cover, Scan, Verifier
+from stringloom.sources.tables import bound_batches
 
 
 def _bytes(value: bytes | str) -> bytes:
@@ -121,6 +122,7 @@ def contains_scan(df: DataFrame, pattern: bytes | str, dictionary: Dictionary, p
 
     Of the columns `codes` (lists) and `packed`, one is enough; without lists the JVM can't probe, and packed rows are cheaper to move.
     """
+    bound_batches(df.sparkSession)
     pattern = _bytes(pattern)
     plan = Scan(pattern, dictionary, prefix)
     lists = codes in df.columns

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: a worker holds several times as much while it works on one, and an executor has up to two workers a core.
+BATCH_BYTES = 2_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless it has a bound of its own: 10,000 rows are too much where values are wide."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Scan partitions up to which a table is dealt out over the cluster's cores.
 FEW_PARTITIONS = 8
 
