@@ -97,10 +97,10 @@ def _range_frequency(spark, sf_dir):
 
 
 def _decoded_length(spark, sf_dir):
-    made, rows = _encoded(spark, sf_dir, "documents", "doc_id", "text")
-    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    back = made.decode(rows, "value", "binary").select("doc_id", F.octet_length("value").alias("n"))
-    return back.join(lang, "doc_id").groupBy("lang").agg(F.sum("n").cast("long").alias("n_bytes"))
+    """Languages travel with the rows, so ids may be missing or repeated."""
+    made = codec(spark, sf_dir, "documents", "text")
+    rows = made.transform(spread(table(spark, sf_dir, "documents").select("lang", "text")), drop=True, codes=False)
+    return made.decode(rows, "value", "binary").groupBy("lang").agg(F.sum(F.octet_length("value")).cast("long").alias("n_bytes"))
 
 
 def _range_decode(spark, sf_dir):

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stringloom import catalog
 from stringloom.api import Codec, payload
 from stringloom.config import Config
 from stringloom.errors import Defect, InvalidColumn, OutputTooSmall
@@ -146,3 +147,11 @@ def test_stream(spark, sf, tmp_path):
     q.awaitTermination(120)
     want = {r[0] for r in docs.where(F.contains("text", F.lit("thing"))).select("doc_id").collect()}
     assert {r[0] for r in spark.table("found").collect()} == want and want
+
+
+def test_decoded_length_counts_rows_without_ids_and_with_equal_ones(spark, tmp_path):
+    """Each row counts once, for its own language, as in the SQL."""
+    rows = [(1, "abc", "en"), (1, "dé", "de"), (None, "xyzw", "en"), (2, None, "fr"), (3, "", None), (3, "four", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["decoded_length"](spark, str(tmp_path)).collect()
+    assert {r["lang"]: r["n_bytes"] for r in got} == {"en": 7, "de": 3, "fr": None, None: 4} and len(got) == 4
